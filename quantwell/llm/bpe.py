@@ -10,8 +10,9 @@ import pyarrow as pa
 from quantwell.llm.bytesplit import is_space, lowered, plain_documents, word_starts
 from quantwell.llm.common import as_bytes, ragged
 
-#: Words that a worker remembers; beyond them it starts anew, so its memory is bounded.
-REMEMBERED_WORDS = 250_000
+#: Words of each of the two generations that a worker remembers. Words in use move to the younger
+#: one; when that is full, the older one goes, so memory is bounded.
+REMEMBERED_WORDS = 200_000
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -43,6 +44,7 @@ class WordEncoder:
         self.known = known and all(t.content.startswith("<|") for t in self.library.get_added_tokens_decoder().values())
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.seen: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
         """The words of plain documents as a dictionary column, and each document's first word."""
@@ -64,18 +66,22 @@ class WordEncoder:
 
     def word_ids(self, words: list[bytes]) -> list[bytes]:
         """For each word its ids as little-endian unsigned 32-bit integers."""
-        seen = self.seen
-        new = [w for w in words if w not in seen]
-        if new:
-            if len(seen) + len(new) > REMEMBERED_WORDS:
-                seen.clear()
-                new = words
-            for k in range(0, len(new), 20_000):
-                some = new[k : k + 20_000]
-                found = self.library.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
-                ids = np.array(found.ids, "<u4").tobytes()
-                edges = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-                seen.update((w, ids[a:b]) for w, a, b in zip(some, edges, edges[1:]))
+        if len(self.seen) + len(words) > REMEMBERED_WORDS:
+            self.old, self.seen = self.seen, {}
+        seen, old = self.seen, self.old
+        new = []
+        for w in words:
+            if w not in seen:
+                if w in old:
+                    seen[w] = old[w]
+                else:
+                    new.append(w)
+        for k in range(0, len(new), 20_000):
+            some = new[k : k + 20_000]
+            found = self.library.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            edges = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
+            seen.update((w, ids[a:b]) for w, a, b in zip(some, edges, edges[1:], strict=False))
         return [seen[w] for w in words]
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

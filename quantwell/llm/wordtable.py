@@ -112,7 +112,6 @@ def _encoded(path: str):
             words = _words(*_unpack(blob.as_py()))
             new = [w for w in words if w not in ids]
             short = [w for w in new if w[:1] != b"\xff"]
-            tokens.seen.clear()
             ids.update(zip(short, tokens.word_ids(short), strict=True))
             for w in new:
                 if w[:1] == b"\xff":
