@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantwell.llm import huffman, wordtable
+from quantwell.llm import huffman, media, packing, quality, secrets, unigram, wordtable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op3_token_file": huffman.op3_token_file,
         "op4_bpe_round_trip": wordtable.op4_bpe_round_trip,
+        "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_quality_rules": quality.op6_quality_rules,
+        "op7_gif_media": media.op7_gif_media,
+        "op8_token_counts": unigram.op8_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": quality.OP6_SQL}
