@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantwell.llm import huffman, media, packing, quality, secrets, unigram, wordtable
+from quantwell.llm import huffman, jaccard, media, packing, quality, secrets, unigram, wordtable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_gif_media": media.op7_gif_media,
         "op8_token_counts": unigram.op8_token_counts,
+        "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     }
 
 
