@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantwell.llm import huffman, jaccard, media, packing, quality, secrets, unigram, wordtable
+from quantwell.llm import huffman, jaccard, media, packing, quality, secrets, suffixes, unigram, wordtable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_suffix_array_dedup": suffixes.op2_suffix_array_dedup,
         "op3_token_file": huffman.op3_token_file,
         "op4_bpe_round_trip": wordtable.op4_bpe_round_trip,
         "op5_secret_scan": secrets.op5_secret_scan,
