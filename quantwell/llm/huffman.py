@@ -142,23 +142,40 @@ def limit_for(vocabulary: int, limit: int | None) -> int:
     return min(25, limit or max(16, int(vocabulary - 1).bit_length() + 2))
 
 
-def _counted(path: str, end_id: int):
+def _id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _tokenised(path: str, end_id: int, bounds: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoder(path)
+        kind = _id_type(max(tokens.size, end_id + 1))
+        for block in blocks(batches):
+            ids, at = tokens.encode(block.column(1))
+            ids = np.insert(ids, at[1:], end_id).astype(kind)
+            at = at + np.arange(block.num_rows + 1)
+            key = block.column(0).combine_chunks()
+            known = key.fill_null(-(2**63)).to_numpy()
+            part = np.where(key.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(np.array(bounds, np.int64), known, "right"))
+            yield pa.record_batch([pa.array(part, pa.int32()), key, slices(ids, at)], ["part", "doc_id", "ids"])
+
+    return run
+
+
+def _counted(vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, total = encoder(path), None
-        for block in blocks(batches, column=0):
-            found = coder.counts(block.column(0))
-            found[end_id] += block.num_rows
-            total = found if total is None else total + found
-        if total is not None:
-            ids = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], ["id", "n"])
+        total = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            total += np.bincount(as_bytes(batch.column(0))[0].view(_id_type(vocabulary)), minlength=vocabulary)
+        ids = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
     return run
 
 
-def token_counts(texts: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(id, n) over all texts, counted in each task and then summed; a row for each id at most."""
-    return texts.mapInArrow(_counted(path, end_id), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def token_counts(tokens: DataFrame, vocabulary: int) -> DataFrame:
+    """(id, n) over all documents, counted in each task and then summed; a row for each id at most."""
+    return tokens.select("ids").mapInArrow(_counted(vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_book(counts: DataFrame, vocabulary: int, limit: int | None = None) -> np.ndarray:
@@ -169,25 +186,21 @@ def code_book(counts: DataFrame, vocabulary: int, limit: int | None = None) -> n
     return code_lengths(total, limit_for(vocabulary, limit))
 
 
-def _encoded(path: str, end_id: int, lengths: np.ndarray, bounds: list[int]):
+def _coded(lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, coder = encoder(path), Coder(lengths)
-        for block in blocks(batches):
-            ids, at = tokens.encode(block.column(1))
-            n = block.num_rows
-            ids = np.insert(ids, at[1:], end_id)
-            at = at + np.arange(n + 1)
-            data, byte_at, bit_at = coder.encode(ids, at)
+        coder = Coder(lengths)
+        for batch in batches:
+            data, edges = as_bytes(batch.column(2))
+            ids = data.view(_id_type(len(lengths)))
+            at = edges // ids.itemsize
+            stream, byte_at, bit_at = coder.encode(ids, at)
             sizes = np.diff(at)
             marks = -(-sizes // CHECKPOINT)
             firsts = np.concatenate([[0], np.cumsum(marks)])
             index = np.repeat(at[:-1], marks) + CHECKPOINT * (np.arange(firsts[-1]) - np.repeat(firsts[:-1], marks))
             points = (bit_at[index] - 8 * np.repeat(byte_at[:-1], marks)).astype("<u4")
-            key = block.column(0).combine_chunks()
-            known = key.fill_null(-(2**63)).to_numpy()
-            part = np.where(key.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(np.array(bounds, np.int64), known, "right"))
             yield pa.record_batch(
-                [pa.array(part, pa.int32()), key, pa.array(sizes, pa.int64()), slices(data, byte_at), slices(points, firsts)],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), slices(stream, byte_at), slices(points, firsts)],
                 ["part", "doc_id", "n_tokens", "stream", "points"],
             )
 
@@ -242,12 +255,15 @@ def write_ids(docs: DataFrame, path: str, end_id: int, scratch: Scratch, *, limi
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     size = text_bytes(docs)
-    vocabulary = encoder(path).size
-    lengths = code_book(token_counts(texts.select("text"), path, end_id), vocabulary, limit)
+    vocabulary = max(encoder(path).size, end_id + 1)
     bounds = range_bounds(texts, "doc_id", parts_for(docs.sparkSession, size, PART_BYTES))
-    coded = texts.mapInArrow(_encoded(path, end_id, lengths, bounds), "part int, doc_id long, n_tokens long, stream binary, points binary")
+    tokens = scratch.keep(texts.mapInArrow(_tokenised(path, end_id, bounds), "part int, doc_id long, ids binary"))
+    lengths = code_book(token_counts(tokens, vocabulary), vocabulary, limit)
+    coded = tokens.mapInArrow(_coded(lengths), "part int, doc_id long, n_tokens long, stream binary, points binary")
     ordered = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id")
-    return scratch.keep(ordered.mapInArrow(_filed, FILE_SCHEMA), codec="uncompressed"), lengths
+    file = scratch.keep(ordered.mapInArrow(_filed, FILE_SCHEMA), codec="uncompressed")
+    scratch.drop(tokens)
+    return file, lengths
 
 
 def _read(lengths: np.ndarray, with_ids: bool):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantwell.llm import huffman, jaccard, media, packing, quality, secrets, suffixes, unigram, wordtable
+from quantwell.llm import huffman, jaccard, media, packing, pseudolm, quality, secrets, suffixes, unigram, wordtable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_gif_media": media.op7_gif_media,
         "op8_token_counts": unigram.op8_token_counts,
         "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
+        "op10_pseudo_likelihood": pseudolm.op10_pseudo_likelihood,
     }
 
 
