@@ -13,7 +13,7 @@ BROADCAST_BYTES = 32 << 20
 
 def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Marks a side for broadcast only if its estimated size is within the limit; else the plan stays free to shuffle."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df
 
 

@@ -541,8 +541,8 @@ def _(t):
     return K.monthly_pool(_pool(t), white, ["item", "unit"], 100)
 
 
-@query("k13_customer_history", f"""WITH h AS (SELECT o_custkey AS customer, l_partkey AS item, o_orderkey, l_shipdate::DATE AS at, quantity, l_returnflag FROM {D} JOIN orders ON l_orderkey = o_orderkey WHERE {IN_YEAR.replace('1999-06-01', '1999-06-15').replace('2000-06-01', '2000-06-15')})
- SELECT customer, item, count(DISTINCT o_orderkey) AS order_count, strftime(min(at), '%Y-%m-%d') AS first_day, strftime(max(at), '%Y-%m-%d') AS last_day, CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(coalesce(sum(quantity) FILTER (l_returnflag = 'R'), 0) AS DOUBLE) AS return_quantity FROM h GROUP BY 1, 2""")
+@query("k13_customer_history", f"""WITH h AS (SELECT o_custkey AS customer, l_partkey AS item, o_orderkey, l_shipdate::DATE AS shipped, quantity, l_returnflag FROM {D} JOIN orders ON l_orderkey = o_orderkey WHERE {IN_YEAR.replace('1999-06-01', '1999-06-15').replace('2000-06-01', '2000-06-15')})
+ SELECT customer, item, count(DISTINCT o_orderkey) AS order_count, strftime(min(shipped), '%Y-%m-%d') AS first_day, strftime(max(shipped), '%Y-%m-%d') AS last_day, CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(coalesce(sum(quantity) FILTER (l_returnflag = 'R'), 0) AS DOUBLE) AS return_quantity FROM h GROUP BY 1, 2""")
 def _(t):
     df = delivery(t, "l_orderkey", "l_partkey", "l_shipdate", "quantity", "l_returnflag").join(orders(t, "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     df = df.select(F.col("o_custkey").alias("customer"), F.col("l_partkey").alias("item"), F.col("o_orderkey").alias("order"), F.col("l_shipdate").alias("at"), "quantity", "l_returnflag")
