@@ -93,3 +93,20 @@ def ranked(df: DataFrame, value: str, *, descending: bool = True) -> DataFrame:
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first rows of each key in an order, ties kept."""
     return df.withColumn("__d", F.dense_rank().over(W.partitionBy(*keys).orderBy(*order))).where("__d = 1").drop("__d")
+
+
+def decompose_gap(parts: DataFrame, overall: DataFrame) -> DataFrame:
+    """Shares gap / overall gap of a complete partition of a target gap (target_value, actual_value, gap_value).
+
+    Given only if all three columns add up exactly, no group is unknown and the overall gap isn't 0.
+    """
+    columns = ("target_value", "actual_value", "gap_value")
+    unknown = F.count_if(F.col("gap_value").isNull())
+    out = with_totals(parts, {f"partition_{c}": F.sum(c) for c in columns} | {"partition_unknown": unknown})
+    out = out.crossJoin(F.broadcast(overall.select(*(F.col(c).alias(f"overall_{c}") for c in columns))))  # one row
+    exact = (F.col("partition_unknown") == 0) & (F.col("overall_gap_value") != 0)
+    for c in columns:
+        exact = exact & (F.col(f"partition_{c}") == F.col(f"overall_{c}"))
+    out = out.withColumn("reconciled", F.coalesce(exact, F.lit(False)))
+    share = F.round(F.col("gap_value").cast("double") / F.col("overall_gap_value").cast("double"), 6)
+    return out.withColumn("gap_contribution_rate", F.when(F.col("reconciled"), share))

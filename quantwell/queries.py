@@ -662,6 +662,41 @@ def _(t):
     return total.crossJoin(F.broadcast(direct)).withColumn("agrees", agrees).drop("r", "x", "y")  # one row each
 
 
+@query("e6_target_gap_decomposition", f"""WITH a AS (SELECT o_orderpriority AS k, coalesce(sum(total) FILTER (o_orderdate < DATE '2000-04-01'), 0) AS t, coalesce(sum(total) FILTER (o_orderdate >= DATE '2000-04-01'), 0) AS v FROM {O} WHERE o_orderdate >= DATE '2000-03-01' AND o_orderdate < DATE '2000-05-01' GROUP BY 1)
+ SELECT k, CAST(t AS DOUBLE) AS target_value, CAST(v AS DOUBLE) AS actual_value, CAST(t - v AS DOUBLE) AS gap_value, round(CAST(t - v AS DOUBLE) / CAST(sum(t - v) OVER () AS DOUBLE), 6) AS gap_contribution_rate, TRUE AS reconciled FROM a""")
+def _(t):
+    df = orders(t, "o_orderpriority", "o_orderdate", "total").where((F.col("o_orderdate") >= F.lit(date(2000, 3, 1))) & (F.col("o_orderdate") < F.lit(date(2000, 5, 1))))
+    early = F.col("o_orderdate") < F.lit(date(2000, 4, 1))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    columns = [zero(F.when(early, F.col("total"))).alias("target_value"), zero(F.when(~early, F.col("total"))).alias("actual_value")]
+    gap = (F.col("target_value") - F.col("actual_value")).alias("gap_value")
+    parts = df.groupBy(F.col("o_orderpriority").alias("k")).agg(*columns).select("*", gap)
+    out = C.decompose_gap(parts, df.agg(*columns).select("*", gap))
+    return out.select("k", "target_value", "actual_value", "gap_value", "gap_contribution_rate", "reconciled")
+
+
+@query("a23_endpoint_average", f"SELECT k, round({_AVERAGE}, 4) AS average FROM (SELECT k, month, sum(amount) AS amount FROM {_MONTHLY} WHERE month BETWEEN DATE '2000-02-01' AND DATE '2000-05-01' GROUP BY 1, 2) GROUP BY 1")
+def _(t):
+    first, last = date(2000, 2, 1), date(2000, 5, 1)
+    df = _priority_months(t).where(F.col("month").between(F.lit(first), F.lit(last))).groupBy("k", "month").agg(F.sum("amount").alias("amount"))
+    return df.groupBy("k").agg(F.round(A.endpoint_average(F.col("month"), F.col("amount"), first, last, 3), 4).alias("average"))
+
+
+@query("f16_having", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'F') > 8")
+def _(t):
+    return orders(t, "o_custkey", "o_orderstatus").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("n")).where("n > 8")
+
+
+@query("u4_distinct_keys", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+def _(t):
+    return delivery(t, "l_returnflag", "l_linestatus", "l_linenumber").distinct()
+
+
+@query("o8_day_buckets", f"SELECT strftime(l_shipdate, '%Y-%m-%d') AS period, l_linestatus AS status, {envelope('sum(amount)')} FROM {D} WHERE l_linestatus = 'F' AND l_shipdate >= DATE '2000-05-01' AND l_shipdate < DATE '2000-05-08' GROUP BY 1, 2")
+def _(t):
+    return whole(t, Request("gross_amount", ("status",), period=Period(date(2000, 5, 1), date(2000, 5, 8)), bucket="day"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Net amount by region for a month, with what is known and missing."""
     month = default_period("current_month", OBSERVED)
