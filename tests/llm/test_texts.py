@@ -212,7 +212,7 @@ def test_quality_verdicts(spark):
 
 def test_rules_are_ordered_by_rejections_per_cost(spark):
     docs = spark.createDataFrame([(k, "ab " * k) for k in range(30)], "doc_id long, text string")
-    rules = (quality.Rule("never", lambda t: t == "zz"), quality.Rule("often", lambda t: t != "zz"))
+    rules = (quality.Rule("never", lambda d: d.text == "zz"), quality.Rule("often", lambda d: d.text != "zz"))
     assert [m.rule.name for m in quality.measure(docs, rules, Scratch(spark))] == ["often", "never"]
 
 
