@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantwell.functions.text import meter
 from quantwell.operators.aggregates import aggregate, composite
 from quantwell.operators.compare import compare, ratio
 from quantwell.operators.joins import enrich
@@ -108,7 +109,7 @@ class Planner:
             if name in places:
                 df = df.where(self._matches(dims[name], F.col(places[name] + dims[name].filter_column), values))
         shown = [F.col(places.get(n, "") + column).alias(alias) for n in checked.request.dimensions for alias, column in dims[n].columns.items()]
-        shown = [self._meter(c).alias(alias) if dims[n].meter else c for c, (n, alias) in zip(shown, ((n, a) for n in checked.request.dimensions for a in dims[n].columns), strict=True)]
+        shown = [meter(c).alias(alias) if dims[n].meter else c for c, (n, alias) in zip(shown, ((n, a) for n in checked.request.dimensions for a in dims[n].columns), strict=True)]
         if checked.request.bucket:
             shown.append(F.date_format(metric.time, BUCKETS[checked.request.bucket]).alias("period"))
         inputs = [*metric.measures, *([metric.multiplier] if metric.multiplier else [])]
@@ -117,13 +118,9 @@ class Planner:
         multiplier = F.col(f"__m{len(inputs) - 1}") if metric.multiplier else None
         return aggregate(facts, keys, metric.aggregation, measures, multiplier, self.observed)
 
-    @staticmethod
-    def _meter(c: Column) -> Column:
-        return F.when(F.lower(c) == "m", "m").otherwise(c)
-
     def _matches(self, d: Dimension, column: Column, values: tuple) -> Column:
         if d.meter:
-            column, values = self._meter(column), tuple("m" if str(v).lower() == "m" else v for v in values)
+            column, values = meter(column), tuple("m" if str(v).lower() == "m" else v for v in values)
         return column.isin(list(values)) if len(values) > 1 else column == values[0]
 
     def _joined(self, df: DataFrame, source: str, d: Dimension, joined: dict) -> tuple[DataFrame, str]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantwell.commerce import OBSERVED, contracts
+from quantwell.functions.text import iso_week
 from quantwell.operators import aggregates as A
 from quantwell.operators import compare as C
 from quantwell.operators import entities as R
@@ -486,8 +487,7 @@ _WEEK = "(SELECT event_type AS kind, CASE WHEN user_id % 13 = 0 THEN NULL ELSE u
 
 
 def _weeks(t: Tables) -> DataFrame:
-    week = F.concat(F.expr("extract(yearofweek from ts)").cast("string"), F.lit("-W"), F.lpad(F.expr("extract(week from ts)").cast("string"), 2, "0"))
-    return t.raw("events").select(F.col("event_type").alias("kind"), F.when(F.col("user_id") % 13 != 0, F.col("user_id") % 50).alias("member"), F.col("value").cast("decimal(18,4)").alias("quantity"), week.alias("week"))
+    return t.raw("events").select(F.col("event_type").alias("kind"), F.when(F.col("user_id") % 13 != 0, F.col("user_id") % 50).alias("member"), F.col("value").cast("decimal(18,4)").alias("quantity"), iso_week(F.col("ts")).alias("week"))
 
 
 _MOVED = f"""a AS (SELECT kind, member, round(sum(quantity), 4) AS a FROM {_WEEK} WHERE week = '2024-W01' AND member % 5 < 4 IS NOT FALSE GROUP BY 1, 2), b AS (SELECT kind, member, round(sum(quantity), 4) AS b FROM {_WEEK} WHERE week = '2024-W02' AND member % 7 > 0 IS NOT FALSE GROUP BY 1, 2),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quantwell import queries as Q
 from quantwell.commerce import OBSERVED, contracts
+from quantwell.functions.text import iso_week, unit
 from quantwell.operators import aggregates as A
 from quantwell.operators import compare as C
 from quantwell.operators import entities as R
@@ -181,6 +182,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(l_shipdate" in scan and "EqualTo(l_linestatus,F)" in scan and "l_partkey" not in scan.split("ReadSchema")[1]
 
 
+def test_units_and_weeks(spark):
+    got = spark.createDataFrame([(" M ", date(2021, 1, 3)), ("kg", date(2020, 12, 31)), ("  ", None), (None, date(2024, 1, 1))], "u string, d date").select(unit(F.col("u")), iso_week(F.col("d"))).collect()
+    assert [tuple(r) for r in got] == [("m", "2020-W53"), ("kg", "2020-W53"), (None, None), (None, "2024-W01")]
+
+
 def test_entities(spark):
     master = spark.createDataFrame([(1, "Acme  Trading"), (2, "acme trading east"), (3, "The Acme Trading"), (4, "Twin"), (5, "twin")], "id int, name string")
     got = R.candidates(" ACME trading", {"customer": (master, "id", "name")}).collect()
