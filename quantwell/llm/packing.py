@@ -4,8 +4,8 @@ A round range-sorts the unplaced documents and the open gaps together, largest f
 before documents of the same size. Each range then sweeps its rows in that order: a document
 takes the smallest gap of its range that holds it (its successor). What a range can't place
 meets the gaps that earlier ranges, whose gaps are all larger, have left over: prefix sums over
-the ranges' counts tell by rank which document gets which gap, so no two claim one. Gaps are
-updated and the next round begins. Documents larger than every gap open sequences, as many at
+the ranges' counts tell by rank which documents get which gap, as many as surely fit, so no two
+ranges claim one. Gaps are updated and the next round begins. Documents larger than every gap open sequences, as many at
 a time as any packing of them needs at least, the largest first.
 """
 
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantwell.llm.bpe import encoder
@@ -79,36 +80,42 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _claims(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """From (part, left documents, left gaps) in order: (document part, its rank, gap part, its rank, how many).
+def _claims(counts: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int, int]]:
+    """Which left documents get which left gaps.
 
-    The nearest range with gaps left serves first, its smallest gaps first.
+    From (part, documents, their largest size, gaps, their smallest size) in order to (document
+    part, first rank, documents, gap part, first rank, gaps, documents a gap). The nearest range
+    with gaps left serves first, its smallest gaps first; a gap takes as many documents of a
+    range as surely fit, as best fit would.
     """
     stack: list[list[int]] = []
     out = []
-    for part, docs, gaps in sorted(counts):
+    for part, docs, largest, gaps, smallest in sorted(counts):
         at = 0
         while at < docs and stack:
             top = stack[-1]
-            n = min(docs - at, top[2] - top[1])
-            out.append((part, at, top[0], top[1], n))
-            at, top[1] = at + n, top[1] + n
+            each = max(1, top[3] // largest)
+            n = min(-(-(docs - at) // each), top[2] - top[1])
+            taken = min(docs - at, n * each)
+            out.append((part, at, taken, top[0], top[1], n, each))
+            at, top[1] = at + taken, top[1] + n
             if top[1] == top[2]:
                 stack.pop()
         if gaps:
-            stack.append([part, 0, gaps])
+            stack.append([part, 0, gaps, smallest])
     return out
 
 
-def _claimed(rows: DataFrame, claims: list[tuple[int, int, int]], name: str) -> DataFrame:
-    """Adds a claim number to the rows whose (part, rank) a claim (part, rank, n) covers."""
-    spark, start, table = rows.sparkSession, 0, []
-    for part, rank, n in claims:
-        table.append((part, rank, rank + n, start - rank))
-        start += n
-    side = spark.createDataFrame(table, "c_part int, c_from long, c_to long, c_shift long")  # two rows a range at most
+def _claimed(rows: DataFrame, claims: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Adds the number of its gap to the rows that a claim (part, first rank, rows, rows a gap) covers."""
+    start, table = 0, []
+    for part, rank, n, each in claims:
+        table.append((part, rank, rank + n, each, start))
+        start += -(-n // each)
+    side = rows.sparkSession.createDataFrame(table, "c_part int, c_from long, c_to long, c_each long, c_start long")  # two rows a range at most
     on = (F.col("part") == F.col("c_part")) & (F.col("rank") >= F.col("c_from")) & (F.col("rank") < F.col("c_to"))
-    return rows.join(F.broadcast(side), on, "left").withColumn(name, F.col("rank") + F.col("c_shift")).drop("c_part", "c_from", "c_to", "c_shift")
+    number = F.col("c_start") + F.floor((F.col("rank") - F.col("c_from")) / F.col("c_each"))
+    return rows.join(F.broadcast(side), on, "left").withColumn("claim", number.cast("long")).drop("c_part", "c_from", "c_to", "c_each", "c_start")
 
 
 def best_fit(items: DataFrame, capacity: int, scratch: Scratch, *, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -125,25 +132,27 @@ def best_fit(items: DataFrame, capacity: int, scratch: Scratch, *, range_rows: i
     while n_docs:
         parts = parts_for(spark, n_docs + n_gaps, range_rows)
         by = [F.desc("size"), F.asc("kind"), F.asc("id")]
-        ranged = docs.unionByName(gaps).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+        rows = docs.unionByName(gaps)  # what fits one range needs no shuffle, and then best fit is exact
+        ranged = (rows.repartitionByRange(parts, *by) if parts > 1 else rows.coalesce(1)).sortWithinPartitions(*by)
         swept = scratch.keep(ranged.mapInArrow(_sweep, _SWEPT))
         placed.append(swept.where(F.col("what") == PLACED).select("id", "bin", "offset"))
-        counts = swept.groupBy("part").agg(F.count_if(F.col("what") == LEFT).alias("docs"), F.count_if(F.col("what") == OPEN_GAP).alias("gaps"), F.count_if(F.col("what") == LOW_GAP).alias("low")).collect()
-        claims = _claims([(r["part"], r["docs"], r["gaps"]) for r in counts])
-        left = swept.where(F.col("what") == LEFT)
-        open_gaps = swept.where(F.col("what") == OPEN_GAP)
+        is_left, is_open = F.col("what") == LEFT, F.col("what") == OPEN_GAP
+        counts = swept.groupBy("part").agg(F.count_if(is_left).alias("docs"), F.max(F.when(is_left, F.col("size"))).alias("largest"), F.count_if(is_open).alias("gaps"), F.min(F.when(is_open, F.col("size"))).alias("smallest")).collect()
+        claims = _claims([(r["part"], r["docs"], r["largest"], r["gaps"], r["smallest"]) for r in counts])
+        left, gap_columns = swept.where(is_left).select("part", "rank", "id", "size"), ["id", "size", "used"]
+        open_gaps = swept.where(is_open)
         if claims:
-            asks = _claimed(left, [(c[0], c[1], c[4]) for c in claims], "claim").select("part", "rank", "id", "size", "claim")
-            offers = _claimed(open_gaps, [(c[2], c[3], c[4]) for c in claims], "claim").select(F.col("id").alias("bin"), F.col("size").alias("gap"), "used", "claim")
-            met = scratch.keep(asks.join(offers, "claim", "full_outer"))
-            taken = F.col("id").isNotNull() & F.col("bin").isNotNull()
-            placed.append(met.where(taken).select("id", "bin", F.col("used").alias("offset")))
-            left = met.where(F.col("bin").isNull())
-            size = F.coalesce(F.col("size"), F.lit(0))
-            open_gaps = met.where(F.col("bin").isNotNull()).select(F.col("bin").alias("id"), (F.col("gap") - size).alias("size"), (F.col("used") + size).alias("used"))
-        gap_columns = ["id", "size", "used"]
+            asks = _claimed(left, [(c[0], c[1], c[2], c[6]) for c in claims])
+            offers = _claimed(open_gaps, [(c[3], c[4], c[5], 1) for c in claims]).select(F.col("id").alias("bin"), F.col("size").alias("gap"), "used", "claim")
+            before = F.sum("size").over(W.partitionBy("claim").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+            met = scratch.keep(asks.where("claim is not null").withColumn("before", before).join(offers.where("claim is not null"), "claim"))
+            placed.append(met.select("id", "bin", (F.col("used") + F.col("before")).alias("offset")))
+            filled = met.groupBy(F.col("bin").alias("id")).agg((F.first("gap") - F.sum("size")).alias("size"), (F.first("used") + F.sum("size")).alias("used"))
+            left = asks.where("claim is null").drop("claim")
+            open_gaps = filled.select(*gap_columns).unionByName(offers.where("claim is null").select(F.col("bin").alias("id"), F.col("gap").alias("size"), "used"))
         open_gaps = open_gaps.select(*gap_columns).unionByName(swept.where(F.col("what") == LOW_GAP).select(*gap_columns)).where("size > 0")
-        largest = open_gaps.agg(F.max("size")).first()[0] or 0
+        standing = open_gaps.agg(F.max("size").alias("largest"), F.count("*").alias("n")).first()
+        largest = standing["largest"] or 0
         misfits = left.where(F.col("size") > largest).groupBy("part").agg(F.count("*").alias("n"), F.count_if(2 * F.col("size") > capacity).alias("half"), F.sum("size").alias("size"), F.min("rank").alias("first")).orderBy("part").collect()
         must = max(sum(r["half"] for r in misfits), -(-sum(r["size"] for r in misfits) // capacity)) if misfits else 0
         upto = (-1, 0)  # misfits are the first rows of their ranges, without holes
@@ -156,10 +165,9 @@ def best_fit(items: DataFrame, capacity: int, scratch: Scratch, *, range_rows: i
         placed.append(news.select("id", F.col("id").alias("bin"), F.lit(0).cast("long").alias("offset")))
         docs = left.where(~opened).select(F.lit(DOCUMENT).alias("kind"), "id", "size", F.lit(0).cast("long").alias("used"))
         fresh = news.select("id", (F.lit(capacity) - F.col("size")).alias("size"), F.col("size").alias("used")).where("size > 0")
-        smallest = docs.agg(F.count("*").alias("n"), F.min("size").alias("least")).first()
-        n_docs = smallest["n"]
-        gaps = open_gaps.unionByName(fresh).where(F.col("size") >= (smallest["least"] or 0)).select(F.lit(GAP).alias("kind"), *gap_columns)
-        n_gaps = gaps.count() if n_docs else 0
+        rest = docs.agg(F.count("*").alias("n"), F.min("size").alias("least")).first()
+        n_docs, n_gaps = rest["n"], standing["n"]
+        gaps = open_gaps.unionByName(fresh).where(F.col("size") >= (rest["least"] or 0)).select(F.lit(GAP).alias("kind"), *gap_columns)
     out = placed[0] if placed else items.select("id", F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset")).limit(0)
     for more in placed[1:]:
         out = out.unionByName(more)
