@@ -33,6 +33,8 @@ CHECKPOINT = 128
 BLOCK_IDS = 1 << 20
 #: Bytes of text that one part of the file stands for.
 PART_BYTES = 48 << 20
+#: Bytes of ids that are coded at a time.
+_CODED_BYTES = 2 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -165,8 +167,8 @@ def _tokenised(path: str, end_id: int, bounds: list[int]):
 def _counted(vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            total += np.bincount(as_bytes(batch.column(0))[0].view(_id_type(vocabulary)), minlength=vocabulary)
+        for block in blocks(batches, _CODED_BYTES, 0):
+            total += np.bincount(as_bytes(block.column(0))[0].view(_id_type(vocabulary)), minlength=vocabulary)
         ids = np.flatnonzero(total)
         yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
@@ -189,8 +191,8 @@ def code_book(counts: DataFrame, vocabulary: int, limit: int | None = None) -> n
 def _coded(lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(lengths)
-        for batch in batches:
-            data, edges = as_bytes(batch.column(2))
+        for block in blocks(batches, _CODED_BYTES, 2):
+            data, edges = as_bytes(block.column(2))
             ids = data.view(_id_type(len(lengths)))
             at = edges // ids.itemsize
             stream, byte_at, bit_at = coder.encode(ids, at)
@@ -200,7 +202,7 @@ def _coded(lengths: np.ndarray):
             index = np.repeat(at[:-1], marks) + CHECKPOINT * (np.arange(firsts[-1]) - np.repeat(firsts[:-1], marks))
             points = (bit_at[index] - 8 * np.repeat(byte_at[:-1], marks)).astype("<u4")
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), slices(stream, byte_at), slices(points, firsts)],
+                [block.column(0).combine_chunks(), block.column(1).combine_chunks(), pa.array(sizes, pa.int64()), slices(stream, byte_at), slices(points, firsts)],
                 ["part", "doc_id", "n_tokens", "stream", "points"],
             )
 
