@@ -45,9 +45,13 @@ _LEX = re.compile(
     r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+])|(?P<end>[\n;,{}])|(?P<value>[A-Za-z0-9+/_.=@!#%^&*~-]+)|(?P<gap>[\x20\t]+)""",
     re.S,
 )
-#: A line is lexed if a sensitive word and an assignment sign may stand on it.
+#: A name ends in a word of this weight at least, its parts joined, if no part is a word itself.
+JOINED_LEAST = 2.5
+#: Lines with an assignment sign are lexed, unless no name on them can score.
 _SIGN = re.compile(r"[=:]")
-_HINT = re.compile("|".join(sorted((w for w in NAME_WEIGHTS if NAME_WEIGHTS[w] >= 1.5), key=len, reverse=True)), re.I | re.A)
+_JOINED = [w.encode() for w in NAME_WEIGHTS if NAME_WEIGHTS[w] >= JOINED_LEAST]
+_LOWER = bytes(range(256)).lower()
+_NO_PART = bytes(c for c in range(256) if not bytes([c]).isalnum())
 _BARE = re.compile(r"[^\s\"'`,;{}()\[\]<>]+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -66,10 +70,19 @@ def name_score(name: str) -> float:
     flat = "".join(parts)
     score = sum(NAME_WEIGHTS.get(p, 0.0) for p in parts)
     if not score:
-        score = max((w for k, w in NAME_WEIGHTS.items() if w >= 2.5 and flat.endswith(k)), default=0.0)
+        score = max((w for k, w in NAME_WEIGHTS.items() if w >= JOINED_LEAST and flat.endswith(k)), default=0.0)
     return score - sum(NAME_RELIEF.get(p, 0.0) for p in parts[-1:]) if score else 0.0
 
 
+def may_name(text: str) -> bool:
+    """Whether a name in the text can score: a word of NAME_WEIGHTS, or the parts of one with anything between them."""
+    lower = text.lower()
+    if any(w in lower for w in NAME_WEIGHTS):
+        return True
+    flat = text.encode("ascii", "ignore").translate(_LOWER, _NO_PART)
+    return any(w in flat for w in _JOINED)
+
+
 def value_score(value: str) -> float:
     """How random a literal looks: bits per character, kinds of characters, length."""
     if len(value) < LITERAL_LEAST or value.lower() in PLACEHOLDERS or len(set(value)) < 4 or any(c.isspace() for c in value):
@@ -138,16 +151,16 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of literals that the lexer's pairs give away, each once."""
-    if not _HINT.search(text):
+    if not _SIGN.search(text):
         return []
     lines, at = [], 0
     for line in text.split("\n"):
         if _SIGN.search(line):
             lines.append((at, line))
         at += len(line) + 1
-    if not any(_HINT.search(line) for _, line in lines):
-        return []
     joined, starts, total = "\n".join(x for _, x in lines), [], 0
+    if not may_name(joined):
+        return []
     for begin, line in lines:
         starts.append((total, begin - total))
         total += len(line) + 1

@@ -171,6 +171,20 @@ def test_lexed_assignments(text, found):
     assert values == found
 
 
+@pytest.mark.parametrize("name", ["pass_phrase", "pass_word", "api_salt", "access_signature", "pass-wd", '"pass word"', "Pass.Phrase"])
+def test_any_name_that_scores_is_lexed(name):
+    assert [s[2] for s in secrets.literal_spans(f'{name} = "tR7xQ9wLp2ZkmB4d"')] == ["literal"]
+
+
+def test_gated_and_ungated_scans_are_equal(monkeypatch):
+    random.seed(6)
+    parts = ["pass", "word", "phrase", "api", "salt", "access", "signature", "Key", "au", "th", "to", "ken", "_", "-", ".", " ", "é", "\n", "title", '"', "\\"]
+    texts = ["".join(random.choices(parts, k=random.randint(1, 6))) + random.choice([" = ", ": ", ":="]) + '"tR7xQ9wLp2ZkmB4d"' for _ in range(4000)]
+    gated = [secrets.literal_spans(t) for t in texts]
+    monkeypatch.setattr(secrets, "may_name", lambda text: True)
+    assert gated == [secrets.literal_spans(t) for t in texts] and any(gated)
+
+
 def test_scan_and_redact(odd, none, spark):
     rows, docs = odd
     got = {r.doc_id: r for r in secrets.scan_secrets(docs, mark="#").collect()}
