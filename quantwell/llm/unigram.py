@@ -1,7 +1,8 @@
 """Token counts of a unigram tokenizer: count-only Viterbi over Aho-Corasick matches.
 
-The vocabulary and its scores come from a sentencepiece model file. A text is prefixed with a
-space and every space becomes the mark U+2581, as the file's normalizer has it. The best
+The vocabulary and its scores come from counts over all documents (fit_vocabulary) or from a
+sentencepiece model file of unigram type. A text is prefixed with a space and every space
+becomes the mark U+2581. The best
 segmentation has the highest sum of scores; of equal sums the one found first wins, that is, at
 each position the longest last piece. A character without a piece costs the lowest score less
 10 and counts as its UTF-8 bytes if the vocabulary has byte pieces, as one piece otherwise,
@@ -10,18 +11,27 @@ neighbours taken together.
 No piece spans from a character to a mark after it, so a text falls into chunks (marks and the
 characters up to the next mark) that are segmented apart; each worker remembers the counts of
 the chunks it has seen. A vocabulary with a piece across such a border is run over whole texts.
+
+fit_vocabulary counts the distinct chunks of all documents, takes as seeds all characters and the
+substrings and whole chunks with the most text, and twice segments all chunks and scores the
+pieces by their share, keeping the most frequent after the first time. Scores are multiples of
+2**-12, so that sums are exact and a chunk has the same best segmentation as within its text.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantwell.llm.common import blocks, documents, text_column
+from quantwell.llm.common import Scratch, blocks, documents, text_column
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -29,6 +39,13 @@ UNKNOWN_PENALTY = 10.0
 REMEMBERED_CHUNKS = 400_000
 #: Chunks longer than this are counted anew each time.
 LONGEST_REMEMBERED = 64
+#: Pieces of a fitted vocabulary besides the characters; seeds to choose them from.
+VOCABULARY, SEEDS = 32_000, 100_000
+#: Longest substring and longest whole chunk that may become a piece.
+SUBSTRING, WHOLE = 4, 16
+SCORE_UNIT = 2.0**-12
+#: Entries of a partial count before it is passed on, chunks segmented at a time, bands of a doubling in the seeds' order.
+_HELD, _AT_ONCE, _BANDS = 500_000, 8192, 16
 
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _COUNTERS: dict[str, "UnigramCounter"] = {}
@@ -44,6 +61,10 @@ def vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
     return pieces, sum(model.is_byte(i) for i in every) == 256
 
 
+def marked(text: str) -> str:
+    return MARK + text.replace(" ", MARK) if text else ""
+
+
 class UnigramCounter:
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool):
         import ahocorasick
@@ -92,11 +113,11 @@ class UnigramCounter:
         return count[n]
 
     def count(self, text: str) -> int:
-        marked = MARK + text.replace(" ", MARK) if text else ""
+        line = marked(text)
         if not self.apart:
-            return self.segment_count(marked)
+            return self.segment_count(line)
         total, seen = 0, self.seen
-        for chunk in _CHUNK.findall(marked):
+        for chunk in _CHUNK.findall(line):
             n = seen.get(chunk)
             if n is None:
                 n = self.segment_count(chunk)
@@ -114,15 +135,120 @@ def counter(path: str) -> UnigramCounter:
     return _COUNTERS[path]
 
 
+def _emptied(counts: Counter, name: str) -> pa.RecordBatch:
+    out = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], [name, "n"])
+    counts.clear()
+    return out
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter = Counter()
+    for block in blocks(batches):
+        for text in block.column(1).to_pylist():
+            counts.update(_CHUNK.findall(marked(text)))
+        if len(counts) >= _HELD:
+            yield _emptied(counts, "chunk")
+    yield _emptied(counts, "chunk")
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter = Counter()
+    for batch in batches:
+        for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            size = len(chunk)
+            for length in range(1, min(SUBSTRING, size) + 1):
+                for a in range(size - length + 1):
+                    counts[chunk[a : a + length]] += n
+            if SUBSTRING < size <= WHOLE:
+                counts[chunk] += n
+            if len(counts) >= _HELD:
+                yield _emptied(counts, "piece")
+    yield _emptied(counts, "piece")
+
+
+def _scores(counts: dict[str, int]) -> list[tuple[str, float]]:
+    """Pieces with the logarithms of their shares, the most frequent first."""
+    total = sum(counts.values())
+    return [(p, round(math.log(n / total) / SCORE_UNIT) * SCORE_UNIT) for p, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+
+
+def _seeds(chunks: DataFrame, scratch: Scratch, most: int) -> dict[str, int]:
+    """Counts of all characters, and of the substrings with the most text: whole bands of equal weight, `most` at most."""
+    pieces = scratch.keep(chunks.mapInArrow(_substrings, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
+    size = F.length("piece")
+    banded = pieces.withColumn("band", F.floor(F.log2(F.col("n") * size) * _BANDS))
+    left, least = most, None
+    for row in banded.where(size > 1).groupBy("band").count().orderBy(F.desc("band")).collect():  # as many as the doublings of the largest count
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["band"]
+    chosen = banded.where((size == 1) | (F.col("band") >= least) if least is not None else size == 1)
+    out = {r["piece"]: r["n"] for r in chosen.select("piece", "n").collect()}
+    scratch.drop(pieces)
+    return out
+
+
+def _segmented(pieces: list[tuple[str, float]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer, models
+
+        tool = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
+        total = np.zeros(len(pieces) + 1, np.int64)
+        for batch in batches:
+            texts, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for a in range(0, len(texts), _AT_ONCE):
+                ids = [e.ids for e in tool.encode_batch_fast(texts[a : a + _AT_ONCE], add_special_tokens=False)]
+                sizes = [len(x) for x in ids]
+                np.add.at(total, np.fromiter((i for x in ids for i in x), np.int64, sum(sizes)), np.repeat(n[a : a + _AT_ONCE], sizes))
+        used = np.flatnonzero(total[1:])
+        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[1:][used])], ["id", "n"])
+
+    return run
+
+
+def _used(chunks: DataFrame, pieces: list[tuple[str, float]]) -> dict[str, int]:
+    """How often the best segmentations of all chunks have each piece; once for a character that none has."""
+    rows = chunks.mapInArrow(_segmented(pieces), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # no more than pieces
+    return {p: 1 for p, _ in pieces if len(p) == 1} | {pieces[r["id"]][0]: r["n"] for r in rows}
+
+
+def fit_vocabulary(docs: DataFrame, scratch: Scratch, *, size: int = VOCABULARY, seeds: int = SEEDS) -> list[tuple[str, float]]:
+    """(piece, score) of a unigram vocabulary of all texts of (doc_id, text): all characters, and `size` other pieces at most."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
+    chunks = scratch.keep(texts.mapInArrow(_chunked, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")))
+    first = _used(chunks, _scores(_seeds(chunks, scratch, seeds)))
+    longer = sorted((p for p in first if len(p) > 1), key=lambda p: (-first[p], p))[:size]
+    kept = {p: n for p, n in first.items() if len(p) == 1} | {p: first[p] for p in longer}
+    out = _scores(_used(chunks, _scores(kept))) if kept else []
+    scratch.drop(chunks)
+    return out
+
+
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and n_chars for each row of (doc_id, text).
 
     Null text is empty and has no tokens; null and repeated doc_id pass through; other columns
     are ignored.
     """
+    return _counted(docs, lambda: counter(path))
+
+
+def count_pieces(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
+    """As count_tokens, by the pieces of a vocabulary without bytes."""
+    key = hashlib.sha256(repr(pieces).encode()).hexdigest()
+
+    def own() -> UnigramCounter:
+        if key not in _COUNTERS:
+            _COUNTERS[key] = UnigramCounter(pieces, False)
+        return _COUNTERS[key]
 
+    return _counted(docs, own)
+
+
+def _counted(docs: DataFrame, tool: Callable[[], UnigramCounter]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
+        own = tool()
         for block in blocks(batches):
             texts = block.column(1).to_pylist()
             yield pa.record_batch([block.column(0).combine_chunks(), pa.array([own.count(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "n_tokens", "n_chars"])
@@ -132,7 +258,6 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents."""
-    import public_tokenizers
-
-    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    """Token counts of all documents by a unigram vocabulary fitted over all of them."""
+    docs = documents(spark, sf_dir)
+    return count_pieces(docs, fit_vocabulary(docs, Scratch(spark)))

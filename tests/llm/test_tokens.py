@@ -112,6 +112,20 @@ def test_count_tokens(odd, none):
     assert unigram.count_tokens(none, path).count() == 0
 
 
+def test_op8_counts_by_a_unigram_vocabulary_of_all_documents(spark, odd, none, tmp_path):
+    rows, docs = odd
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [t or "" for _, t in rows]
+    pieces = unigram.fit_vocabulary(docs, Scratch(spark))
+    scores = dict(pieces)
+    assert len(scores) == len(pieces) and set("".join(map(unigram.marked, texts))) <= set(scores) and {"▁über", "▁the", "▁token"} <= set(scores)
+    tool = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
+    want = sorted((k or 0, len(tool.encode(unigram.marked(t), add_special_tokens=False).ids), len(t)) for (k, _), t in zip(rows, texts))
+    got = unigram.op8_token_counts(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_chars) for r in got) == want
+    assert unigram.fit_vocabulary(none, Scratch(spark)) == [] and unigram.count_pieces(none, []).count() == 0
+
+
 @pytest.mark.parametrize("range_rows", [7, 50, 10_000])
 def test_best_fit(spark, range_rows):
     random.seed(range_rows)
