@@ -4,7 +4,12 @@ Each word is predicted from the two words on either side. Embeddings of the four
 to a hidden layer; a two-level softmax gives first the cluster of the masked word, then the
 word. A document's score is the sum of the conditional log-probabilities of all its words.
 
-The vocabulary comes from word counts over all documents. Training goes through all words in
+The vocabulary comes from word counts over all documents. Words beyond the most frequent share
+classes by hash within the network; such a word has the probability of its class, given its
+context, times its own share of the class, P(class | context) P(word | class), so that all
+distinct words of all documents have probabilities and these add up to 1. The shares come from a
+table of the counts of all words, in buckets by hash, which grows with the input: blocks of
+documents send their words to the buckets and get the logarithms back. Training goes through all words in
 every round: each task starts from the round's weights and steps through its own documents;
 the weights, weighted by the words seen, are then averaged in the cluster. The driver holds one
 set of weights.
@@ -167,26 +172,56 @@ def _counted(buckets: int):
     return run
 
 
-def _summed(top: int):
-    def run(group: pa.Table) -> pa.Table:
-        words, counts = [], []
-        for n, blob in zip(group.column("n").to_pylist(), group.column("packed").to_pylist(), strict=True):
-            words.append(np.frombuffer(blob, "<u8", n))
-            counts.append(np.frombuffer(zstandard.decompress(blob[8 * n :]), "<u4"))
-        found, where = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.zeros(len(found), np.int64)
-        np.add.at(total, where, np.concatenate(counts).astype(np.int64))
-        best = np.lexsort((found, -total))[:top]
-        return pa.table([pa.array(found[best].view(np.int64)), pa.array(total[best])], ["word", "n"])
+def _summed(group: pa.Table) -> pa.Table:
+    words, counts = [], []
+    for n, blob in zip(group.column("n").to_pylist(), group.column("packed").to_pylist(), strict=True):
+        words.append(np.frombuffer(blob, "<u8", n))
+        counts.append(np.frombuffer(zstandard.decompress(blob[8 * n :]), "<u4"))
+    found, where = np.unique(np.concatenate(words), return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, where, np.concatenate(counts).astype(np.int64))
+    return pa.table([group.column("bucket")[:1], binary([found.tobytes()]), binary([total.tobytes()])], ["bucket", "words", "counts"])
+
+
+def word_counts(texts: DataFrame, buckets: int) -> DataFrame:
+    """Hashes in order and counts of all words of all texts (doc_id, text), a row for each bucket."""
+    return texts.mapInArrow(_counted(buckets), "bucket int, n long, packed binary").groupBy("bucket").applyInArrow(_summed, "bucket int, words binary, counts binary")
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            yield np.frombuffer(words, "<u8"), np.frombuffer(counts, "<i8")
 
-    return run
+
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for words, counts in _totals(batches):
+        best = np.lexsort((words, -counts))[:KNOWN]
+        yield pa.record_batch([pa.array(words[best].view(np.int64)), pa.array(counts[best])], ["word", "n"])
+
+
+def most_frequent(counts: DataFrame) -> list[int]:
+    return [r["word"] for r in counts.mapInArrow(_best, "word long, n long").orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
 
 
 def vocabulary(texts: DataFrame, size: int) -> list[int]:
     """Hashes of the KNOWN most frequent words of all texts (doc_id, text), the most frequent first; ties by hash."""
-    buckets = parts_for(texts.sparkSession, size, _COUNT_BUCKET)
-    counts = texts.mapInArrow(_counted(buckets), "bucket int, n long, packed binary").groupBy("bucket").applyInArrow(_summed(KNOWN), "word long, n long")
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    return most_frequent(word_counts(texts, parts_for(texts.sparkSession, size, _COUNT_BUCKET)))
+
+
+def class_totals(counts: DataFrame, known: list[int]) -> np.ndarray:
+    """Words of each hash class in all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(WORDS, np.int64)
+        for words, n in _totals(batches):
+            np.add.at(total, word_ids(words, *_table(known)), n)
+        yield pa.record_batch([pa.array(range(MEMBERS), pa.int32()), pa.array(total[KNOWN:])], ["class", "n"])
+
+    out = np.zeros(MEMBERS, np.int64)
+    for r in counts.mapInArrow(run, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        out[r["class"]] = r["n"]
+    return out
 
 
 def _examples_of(batches: Iterator[pa.RecordBatch], words: np.ndarray, ids: np.ndarray):
@@ -231,30 +266,110 @@ def fit(texts: DataFrame, known: list[int], *, rounds: int = 2, seed: int = 7) -
     return flat
 
 
+def _class_scores(batches: Iterator[pa.RecordBatch], known: list[int], flat: np.ndarray):
+    """Blocks with their words' hashes and ids, offsets of documents, and sums of log P(id | context) by document."""
+    words, ids = _table(known)
+    w = Weights.of(flat)
+    for block in blocks(batches, _BLOCK, 1):
+        hashes, first = word_hashes(*as_bytes(block.column(1)))
+        own = word_ids(hashes, words, ids)
+        context, target = examples(own, first)
+        scores = [log_probabilities(w, context[a : a + BATCH], target[a : a + BATCH]) for a in range(0, len(target), BATCH)]
+        yield block, hashes, own, first, _by_document(np.concatenate([np.zeros(0), *scores]), first)
+
+
+def _by_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0.0], np.cumsum(values.astype(np.float64))])
+    return sums[first[1:]] - sums[first[:-1]]
+
+
+def _rows(doc_id: pa.Array, n: np.ndarray, total: np.ndarray) -> list[pa.Array]:
+    mean = np.where(n > 0, total / np.maximum(n, 1), 0.0)
+    return [doc_id, pa.array(n, pa.int64()), pa.array(np.round(total, 3)), pa.array(np.round(mean, 5))]
+
+
+_NAMES = ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"]
+
+
 def _scored(known: list[int], flat: np.ndarray):
+    """Scores by words and classes alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids = _table(known)
-        w = Weights.of(flat)
-        for block, first, context, target in _examples_of(batches, words, ids):
-            scores = [log_probabilities(w, context[a : a + BATCH], target[a : a + BATCH]) for a in range(0, len(target), BATCH)]
-            sums = np.concatenate([[0.0], np.cumsum(np.concatenate([np.zeros(0), *scores]).astype(np.float64))])
-            total, n = sums[first[1:]] - sums[first[:-1]], np.diff(first)
-            mean = np.where(n > 0, total / np.maximum(n, 1), 0.0)
-            yield pa.record_batch([block.column(0).combine_chunks(), pa.array(n, pa.int64()), pa.array(np.round(total, 3)), pa.array(np.round(mean, 5))], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+        for block, _, _, first, total in _class_scores(batches, known, flat):
+            yield pa.record_batch(_rows(block.column(0).combine_chunks(), np.diff(first), total), _NAMES)
+
+    return run
+
+
+#: Rows of a block: bucket -1 has its documents (ids; words, words of classes and scores of each; places of the latter words among those sent), others the words sent to a bucket or the logarithms that come back.
+_PASSED = "block long, bucket int, data binary, more binary, ids array<long>"
+
+
+def _passed(known: list[int], flat: np.ndarray, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for k, (block, hashes, own, first, total) in enumerate(_class_scores(batches, known, flat)):
+            rare = own >= KNOWN
+            words, where = np.unique(hashes[rare], return_inverse=True)
+            to = (words >> np.uint64(40)).astype(np.int64) % buckets
+            order = np.argsort(to, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            edges = np.searchsorted(to[order], np.arange(buckets + 1))
+            sent = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+            n_rare = np.diff(np.concatenate([[0], np.cumsum(rare)])[first])
+            head = np.concatenate([np.diff(first), n_rare]).astype("<i8").tobytes() + total.astype("<f8").tobytes()
+            data = [head, *(words[order[edges[b] : edges[b + 1]]].tobytes() for b in sent)]
+            more = [zstandard.compress(place[where].astype("<u4").tobytes(), 1)] + [None] * len(sent)
+            ids = pa.array([block.column(0).to_pylist()] + [None] * len(sent), pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array([task + k] * len(data), pa.int64()), pa.array([-1, *sent], pa.int32()), binary(data), binary(more), ids], ["block", "bucket", "data", "more", "ids"])
+
+    return run
+
+
+def _shares(totals: np.ndarray):
+    """log P(word | class) of the words that blocks have sent to a bucket."""
+
+    def run(sent: pa.Table, counts: pa.Table) -> pa.Table:
+        words, n = next(_totals(iter(counts.combine_chunks().to_batches())))
+        out = []
+        for data in sent.column("data").to_pylist():
+            own = np.frombuffer(data, "<u8")
+            out.append(np.log(n[np.searchsorted(words, own)] / totals[own % np.uint64(MEMBERS)]).astype("<f4").tobytes())
+        return pa.table([sent.column("block"), sent.column("bucket"), binary(out)], ["block", "bucket", "data"])
 
     return run
 
 
+def _finished(group: pa.Table) -> pa.Table:
+    group = group.sort_by("bucket")
+    data = group.column("data").to_pylist()
+    doc_id = group.column("ids")[0].values
+    size = len(doc_id)
+    n, n_rare = np.frombuffer(data[0], "<i8", 2 * size).reshape(2, size)
+    logs = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(x, "<f4") for x in data[1:])])
+    place = np.frombuffer(zstandard.decompress(group.column("more")[0].as_py()), "<u4")
+    total = np.frombuffer(data[0], "<f8", size, 16 * size) + _by_document(logs[place], np.concatenate([[0], np.cumsum(n_rare)]))
+    return pa.table(_rows(doc_id, n, total), _NAMES)
+
+
 def score(docs: DataFrame, scratch: Scratch | None = None, *, rounds: int = 2, seed: int = 7) -> DataFrame:
     """Trains on all rows of (doc_id, text) and scores them: doc_id, n_words, log_likelihood, mean_log_likelihood.
 
     Null or empty texts have no words and score 0; null and repeated doc_id pass through; other
     columns are ignored.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    known = vocabulary(texts, text_bytes(docs))
+    buckets = parts_for(docs.sparkSession, text_bytes(docs), _COUNT_BUCKET)
+    counts = scratch.keep(word_counts(texts, buckets))
+    known = most_frequent(counts)
     flat = fit(texts, known, rounds=rounds, seed=seed)
-    return texts.mapInArrow(_scored(known, flat), "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    passed = scratch.keep(texts.mapInArrow(_passed(known, flat, buckets), _PASSED))
+    sent = passed.where("bucket >= 0").select("block", "bucket", "data").groupBy("bucket")
+    back = sent.cogroup(counts.groupBy("bucket")).applyInArrow(_shares(class_totals(counts, known)), "block long, bucket int, data binary")
+    both = passed.where("bucket < 0").unionByName(back, allowMissingColumns=True)
+    return both.groupBy("block").applyInArrow(_finished, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,6 +327,25 @@ def test_held_out_words_are_better_than_by_frequency_alone(spark):
     assert real > -np.log(40) + 0.8 and real > mixed + 0.8
 
 
+def test_rare_words_are_scored_as_words(spark):
+    random.seed(9)
+    texts = [" ".join(f"w{int(random.paretovariate(0.2))}" for _ in range(200)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed = [pseudolm.word_hashes(*as_bytes(pa.array([t])))[0] for t in texts]
+    counts = collections.Counter(int(h) for own in hashed for h in own)
+    known = pseudolm.vocabulary(docs, 1)
+    rare = {h: n for h, n in counts.items() if h not in set(np.array(known, np.int64).view(np.uint64).tolist())}
+    totals = collections.Counter()
+    for h, n in rare.items():
+        totals[h % pseudolm.MEMBERS] += n
+    assert len(rare) > 1000
+    flat = pseudolm.fit(docs, known)
+    alone = {r.doc_id: r.log_likelihood for r in docs.mapInArrow(pseudolm._scored(known, flat), "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double").collect()}
+    got = {r.doc_id: r.log_likelihood for r in pseudolm.score(docs).collect()}
+    for k, own in enumerate(hashed):
+        assert abs(got[k] - alone[k] - sum(np.log(rare[int(h)] / totals[int(h) % pseudolm.MEMBERS]) for h in own if int(h) in rare)) < 0.05
+
+
 def test_scores_of_odd_documents(odd, none):
     rows, docs = odd
     got = {r.doc_id: r for r in pseudolm.score(docs, rounds=1).collect()}
