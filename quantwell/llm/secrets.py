@@ -4,7 +4,8 @@ The lexer cuts a text into names, string literals, numbers, bare values, operato
 ends as source and configuration files have them. A name followed by =, :, := or => and a
 literal is a pair; a name assigned from another name takes over its literal (constants
 propagate, through string concatenation with + too). A literal is a secret if the score of its
-target names and of its own characters reaches a threshold.
+target names and of its own characters reaches a threshold; literals joined by + are also scored
+as the value they add up to, and all of them are secrets if it reaches the threshold.
 """
 
 from __future__ import annotations
@@ -109,10 +110,10 @@ def _lex(text: str) -> Iterator[tuple[str, str, int, int]]:
             yield kind, m[0], m.start(), m.end()
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal, start, end) of each assignment in the lines given, constants propagated."""
+def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Name and literals (value, start, end) of each assignment in the lines given, constants propagated."""
     known: dict[str, list[tuple[str, int, int]]] = {}
-    out: list[tuple[str, str, int, int]] = []
+    out: list[tuple[str, list[tuple[str, int, int]]]] = []
     tokens = [*_lex(text), ("end", "\n", len(text), len(text))]
     k = 0
     while k < len(tokens) - 1:
@@ -144,7 +145,7 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
         if got:
             short = name.split(".")[-1]
             known[name] = known[short] = got
-            out += [(name, value, a, b) for value, a, b in got]
+            out.append((name, got))
         k = max(j if got else k + 1, k + 1)
     return out
 
@@ -165,10 +166,14 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
         starts.append((total, begin - total))
         total += len(line) + 1
     best: dict[tuple[int, int], float] = {}
-    for name, value, a, b in pairs(joined):
+    for name, got in pairs(joined):
         score = name_score(name)
-        if score > 0 and (score := score + value_score(value)) >= THRESHOLD:
-            best[a, b] = max(best.get((a, b), 0.0), score)
+        if score <= 0:
+            continue
+        whole = value_score("".join(value for value, *_ in got))
+        for value, a, b in got:
+            if a < b and (own := score + max(whole, value_score(value))) >= THRESHOLD:
+                best[a, b] = max(best.get((a, b), 0.0), own)
     out, k = [], 0
     for a, b in sorted(best):
         while k + 1 < len(starts) and starts[k + 1][0] <= a:

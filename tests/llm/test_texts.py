@@ -171,6 +171,19 @@ def test_lexed_assignments(text, found):
     assert values == found
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ('secret_key = "tR7xQ9" + "wLp2Zk" + "mB4d"', ["tR7xQ9", "wLp2Zk", "mB4d"]),
+        ('a = "tR7xQ9wL"\nb = "p2Zk"\nsecret_key = a + b + ""', ["tR7xQ9wL", "p2Zk"]),
+        ('auth_header = "Bearer is " + "tR7xQ9wLp2ZkmB4d"', ["tR7xQ9wLp2ZkmB4d"]),
+        ('title = "tR7xQ9" + "wLp2Zk" + "mB4d"', []),
+    ],
+)
+def test_joined_literals_are_scored_as_one_value(text, found):
+    assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == found
+
+
 @pytest.mark.parametrize("name", ["pass_phrase", "pass_word", "api_salt", "access_signature", "pass-wd", '"pass word"', "Pass.Phrase"])
 def test_any_name_that_scores_is_lexed(name):
     assert [s[2] for s in secrets.literal_spans(f'{name} = "tR7xQ9wLp2ZkmB4d"')] == ["literal"]
