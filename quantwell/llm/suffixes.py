@@ -1,13 +1,13 @@
-"""Removes text that an earlier document has: longest-previous-factor tests in suffix order.
+"""Removes text that an earlier document has: windows of one length, grouped exactly.
 
 Every window of `length` bytes has an anchor, the 16 bytes in it whose hash is smallest, so
 equal windows have equal anchors. Anchors that two documents share are found first, in buckets
 of hashes; of the rest of the text nothing is moved. Windows of shared anchors then go to
-buckets by anchor. A bucket sorts its windows as suffixes; equal neighbours have a common prefix
-of `length`, and a window is removed if among them the previous or the next smaller document in
-suffix order exists: its longest previous factor then reaches `length`. All windows of a text
-are judged on the input. Blocks of documents travel compressed, and a bucket gets each distinct
-run of windows once from a block.
+buckets by anchor. A bucket sorts its windows by their `length` bytes, and a window is removed if
+a smaller document is among its equals: its longest previous factor then reaches `length`. There
+is no suffix order beyond `length`, no LCP and no factor length. All windows of a text are judged
+on the input. Blocks of documents travel compressed; a bucket gets every run of windows of a
+block, repeated ones too.
 """
 
 from __future__ import annotations
