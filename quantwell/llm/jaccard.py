@@ -1,37 +1,45 @@
 """N-gram Jaccard join: exact links between documents whose shingle sets are alike.
 
-Two sets of a and b shingles with Jaccard similarity of at least t differ in at most
-D = (1 - t) / (1 + t) * (a + b) shingles. If hashing deals the shingles into D + r parts, at
-least r parts are equal in both. So documents meet by signatures of their parts, dealt by size
-class; those that meet are joined into blocks, and each block is searched by T-occurrence:
-DivideSkip merges the short inverted lists, probes the long ones by binary search and keeps the
-documents that reach the overlap. The search is exact, and no list of pairs is ever formed:
-documents already linked through others are not compared again.
-
-Parts whose signature very many documents share (a common line) are set aside for documents
-that have fewer of them than r allows, for these meet in another part; documents that have more
-(near copies by the thousand) keep them.
+Three exact steps, none of which forms a list of pairs or moves a text that cannot link.
+
+1. A document of a shingles links only with documents that lack at most a - ceil(t a) of them. So
+   one with more shingles of its own than that links with nothing but its exact copies. Shingles
+   are counted over all distinct sets, in a slice of the hash space that is wide enough to
+   show this for nearly every document without near copies; a narrower slice only leaves more
+   documents to the next step.
+2. The sets that are left order their shingles from rare to frequent, by counts over those
+   sets. Two that link share a shingle among the first a - ceil(t a) + 1 of each (the prefix), so a
+   line that many documents have brings nothing together unless a document is hardly more than
+   that line. Documents that share a prefix shingle are joined into blocks.
+3. Each block is searched by T-occurrence: DivideSkip merges the short inverted lists, probes the
+   long ones by binary search and keeps the documents that reach the overlap. Blocks beyond
+   `search_shingles` are dealt out by pairs of chunks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantwell.llm.common import Scratch, as_bytes, binary, blocks, documents, mix64, parts_for, ragged, text_bytes, text_column
 from quantwell.llm.graph import components
 
-#: Documents with one signature from which on it counts as common.
-COMMON = 256
-#: Signatures of one bucket; shingles of one search, beyond which a block is searched by pairs of chunks.
-BUCKET_SIGNATURES, SEARCH_SHINGLES = 1_500_000, 4_000_000
+#: Shingles that one bucket counts; shingles of one search, beyond which a block is dealt out by pairs of chunks.
+BUCKET_SHINGLES, SEARCH_SHINGLES = 1_500_000, 400_000
+#: Rows of a table of ids up to which it is broadcast (about 100 bytes a row); beyond, the join is a shuffle.
+BROADCAST_ROWS = 1 << 18
+#: The counted slice of the hash space, as a multiple of the share of shingles that a link may miss.
+SLICE = 2.5
 _BLOCK = 3 << 20
+_DIGEST = 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -87,140 +95,222 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), edges
 
+def least_overlap(size: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The least number of shingles that a set of `size` shares with any set that it links with."""
+    return -(-size * p // q)
 
-class Sizes:
-    """Size classes for a similarity of p / q: links join documents of one class or of neighbours."""
-
-    def __init__(self, p: int, q: int, largest: int):
-        self.lows, self.parts, self.spare = [], [], []
-        low = 1
-        while True:
-            high = max(low, low * q // p)
-            differ = (q - p) * (high + high * q // p) // (q + p)
-            spare = 3 + differ // 12 if differ else 1
-            self.lows.append(low)
-            self.parts.append(differ + spare)
-            self.spare.append(spare)
-            if high >= largest:
-                break
-            low = high + 1
-        self.lows, self.parts, self.spare = (np.array(x, np.int64) for x in (self.lows, self.parts, self.spare))
-        self.empty = (self.spare - 1) // 2  #: empty parts that a document may leave out
-        self.common = self.spare - 1 - self.empty  #: common parts that it may set aside
-
-    def of(self, size: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.lows, size, "right") - 1
-
-
-def signatures(hashes: np.ndarray, edges: np.ndarray, rows: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Part signatures of the sets `rows`: signature, row, class."""
-    size = np.diff(edges)[rows]
-    rows, size = rows[size > 0], size[size > 0]
-    if not len(rows):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    classes = Sizes(p, q, int(size.max()))
-    home = classes.of(size)
-    out = []
-    for group in (home, np.where((home > 0) & (-(-size * p // q) < classes.lows[home]), home - 1, -1)):
-        use = group >= 0
-        if not use.any():
-            continue
-        row, g, n = rows[use], group[use], size[use]
-        parts = classes.parts[g]
-        base = np.cumsum(parts) - parts
-        flat = hashes[ragged(edges[row], n)]
-        owner = np.repeat(np.arange(len(row)), n)
-        slot = base[owner] + ((flat >> np.uint64(20)) % parts[owner].astype(np.uint64)).astype(np.int64)
-        total = np.zeros(int(parts.sum()), np.uint64)
-        np.add.at(total, slot, mix64(flat ^ np.uint64(0xA5A5A5A5)))
-        filled = np.bincount(slot, minlength=len(total)) > 0
-        whose = np.repeat(np.arange(len(row)), parts)
-        number = np.arange(len(total)) - base[whose]
-        hollow = np.bincount(whose[~filled], minlength=len(row))
-        used = filled | (hollow > classes.empty[g])[whose]
-        sig = mix64(total + mix64((g[whose] * 1_000_003 + number + 1).astype(np.uint64)))
-        out.append((sig[used], row[whose[used]], g[whose[used]]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _met(width: int, p: int, q: int, buckets: int):
-    """For each document its size and the first document of the block with the same set; and packed signatures."""
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    sizes = np.array([a.nbytes for a in arrays], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(a.tobytes() for a in arrays))
+
+
+def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = 8 * len(kinds)
+    ends = n + np.cumsum(np.frombuffer(raw, "<i8", len(kinds)))
+    return [np.frombuffer(raw[a:b], kind) for a, b, kind in zip([n, *ends[:-1].tolist()], ends.tolist(), kinds, strict=True)]
+
+
+def _digests(hashes: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """128-bit digests that stand for whole sets."""
+    return [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=_DIGEST).digest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _packed(block: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), binary([r[1] for r in rows])], ["block", "bucket", "packed"])
+
+
+_PACKED = "block long, bucket int, packed binary"
+
+
+class _Numbers:
+    """Numbers of the blocks of one task; the tables that carry them are written before they are read."""
+
+    def __init__(self):
+        context = TaskContext.get()
+        self.next = (context.partitionId() if context else 0) << 32
+
+    def __call__(self) -> int:
+        self.next += 1
+        return self.next
+
+
+# step 1: documents with enough shingles of their own
+
+
+def _counted(width: int, p: int, q: int, buckets: int):
+    """For each document its size and digest; for each block its sets (bucket -1) and the slice of their shingles by bucket."""
+    edge = min(1 << 16, int(SLICE * (q - p) / q * (1 << 16)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        numbers = _Numbers()
+        names = ["doc_id", "n_shingles", "digest", "block", "bucket", "packed"]
         for block in blocks(batches, _BLOCK):
             hashes, edges = shingle_sets(*as_bytes(block.column(1)), width)
-            key = block.column(0).to_pylist()
-            first: dict[bytes, int] = {}  # a set to its document with the smallest key
-            raw = [hashes[a:b].tobytes() if b > a and k is not None else b"" for k, a, b in zip(key, edges[:-1], edges[1:], strict=True)]
-            for i, own in enumerate(raw):
-                if own and key[i] < key[first.setdefault(own, i)]:
-                    first[own] = i
-            twin = [first[own] if own else i for i, own in enumerate(raw)]
-            own = np.array(sorted(set(first.values())), np.int64)
-            keys = pa.array(key, pa.int64())
-            none = lambda kind: pa.nulls(len(key), kind)
-            names = ["doc_id", "n_shingles", "twin", "bucket", "packed"]
-            yield pa.record_batch([keys, pa.array(np.diff(edges)), pa.array([key[t] for t in twin], pa.int64()), none(pa.int32()), none(pa.binary())], names)
-            sig, row, group = signatures(hashes, edges, own, p, q)
-            to = (sig >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.lexsort((row, to))
-            cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
-            number = np.array([0 if k is None else k for k in key], "<i8")
-            rows = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                some = order[a:b]
-                rest = pack(number[row[some]].tobytes() + group[some].astype("<u2").tobytes())
-                rows.append((int(to[some[0]]), len(some).to_bytes(8, "little") + sig[some].astype("<u8").tobytes() + rest))
-            n = len(rows)
-            yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), binary([r[1] for r in rows])], names)
+            key, sizes = block.column(0).to_pylist(), np.diff(edges)
+            digest = _digests(hashes, edges)
+            own: dict[bytes, int] = {}
+            for i, k in enumerate(key):
+                if not sizes[i]:
+                    digest[i] = b"-%d" % (k or 0)  # an empty set equals none
+                elif k is not None:
+                    own.setdefault(digest[i], i)
+            n, none = len(key), pa.nulls
+            yield pa.record_batch([pa.array(key, pa.int64()), pa.array(sizes), binary(digest), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.binary())], names)
+            if not own:
+                continue
+            rows = np.fromiter(own.values(), np.int64, len(own))
+            size = sizes[rows]
+            packed = [(-1, _pack(np.frombuffer(b"".join(own), np.uint8), (size - least_overlap(size, p, q)).astype("<u4")))]
+            flat = hashes[ragged(edges[rows], size)]
+            slot = np.repeat(np.arange(len(rows)), size)
+            held = (flat & np.uint64(0xFFFF)) < np.uint64(edge)
+            flat, slot = flat[held], slot[held]
+            to = (flat >> np.uint64(32)).astype(np.int64) % buckets
+            order = np.argsort(to, kind="stable")
+            flat, slot, to = flat[order].astype("<u4"), slot[order], to[order]
+            cuts = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                first = np.flatnonzero(np.diff(slot[a:b], prepend=-1))
+                packed.append((int(to[a]), _pack(slot[a:b][first].astype("<u4"), np.diff(np.append(first, b - a)).astype("<u4"), flat[a:b])))
+            k = len(packed)
+            table = _packed(numbers(), packed)
+            yield pa.record_batch([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.binary()), *table.columns], names)
 
     return run
 
 
-def _meetings(p: int, q: int):
-    """In a bucket: a link to the smallest document for each that shares a signature; common ones apart."""
+def _alone(group: pa.Table) -> pa.Table:
+    """In a bucket: for each block, how many shingles of each of its sets no other set has."""
+    asked = [_unpack(blob, "<u4", "<u4", "<u4") for blob in group.column("packed").to_pylist()]
+    values = np.concatenate([a[2] for a in asked])
+    order = np.argsort(values, kind="stable")
+    inner = values[order][1:] != values[order][:-1]
+    single = np.zeros(len(values), np.int64)
+    single[order] = np.append(True, inner) & np.append(inner, True)
+    out, at = [], 0
+    for slots, counts, _ in asked:
+        total = int(counts.sum())
+        starts = np.cumsum(counts.astype(np.int64)) - counts
+        out.append(_pack(slots, np.add.reduceat(single[at : at + total], starts).astype("<u4")))
+        at += total
+    return pa.table([group.column("block"), group.column("bucket"), binary(out)], names=["block", "bucket", "packed"]).cast(_PACKED_SCHEMA)
+
+
+_PACKED_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())])
+
+
+def _left(group: pa.Table) -> pa.Table:
+    """In a block: the digests of the sets that may link with another set."""
+    blobs = dict(zip(group.column("bucket").to_pylist(), group.column("packed").to_pylist(), strict=True))
+    digests, budget = _unpack(blobs.pop(-1), "u1", "<u4")
+    single = np.zeros(len(budget), np.int64)
+    for blob in blobs.values():
+        slots, counts = _unpack(blob, "<u4", "<u4")
+        single[slots] += counts
+    raw = digests.tobytes()
+    return pa.table([binary([raw[_DIGEST * i : _DIGEST * (i + 1)] for i in np.flatnonzero(single <= budget).tolist()])], names=["digest"])
+
+
+# step 2: prefixes by rarity
+
+
+def _sets(width: int):
+    """Blocks of the sets that are left: nodes, numbers of copies, digests, sizes, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers()
+        for block in blocks(batches, _BLOCK, 3):
+            hashes, edges = shingle_sets(*as_bytes(block.column(3)), width)
+            want = block.column(1).to_pylist()
+            rows = np.array([i for i, d in enumerate(_digests(hashes, edges)) if d == want[i]], np.int64)
+            if len(rows):
+                size = np.diff(edges)[rows]
+                node, copies = (block.column(k).to_numpy()[rows].astype("<i8") for k in (0, 2))
+                blob = _pack(node, copies, np.frombuffer(b"".join(want[i] for i in rows), np.uint8), size.astype("<u4"), hashes[ragged(edges[rows], size)].astype("<u8"))
+                yield _packed(numbers(), [(-1, blob)])
+
+    return run
+
+
+_SETS = ("<i8", "<i8", "u1", "<u4", "<u8")
+
+
+def _dealt(flat: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of a block in order of (bucket, shingle), their counts, their buckets and where each bucket starts."""
+    tokens, counts = np.unique(flat, return_counts=True)
+    to = (tokens >> np.uint64(32)).astype(np.int64) % buckets
+    order = np.argsort(to, kind="stable")
+    return tokens[order], counts[order], to[order], np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+
+
+def _asked(buckets: int):
+    """The distinct shingles of each block and their counts there, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                tokens, counts, to, cuts = _dealt(_unpack(blob, *_SETS)[4], buckets)
+                yield _packed(number, [(int(to[a]), _pack(tokens[a:b].astype("<u4"), counts[a:b].astype("<u4"))) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+
+    return run
+
+
+def _levels(group: pa.Table) -> pa.Table:
+    """In a bucket: in how many sets each shingle that a block asks for is, up to 255."""
+    asked = [_unpack(blob, "<u4", "<u4") for blob in group.column("packed").to_pylist()]
+    _, place = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate([a[1] for a in asked]))
+    level = np.minimum(total, 255).astype(np.uint8)[place]
+    ends = np.cumsum([len(a[0]) for a in asked]).tolist()
+    out = [_pack(level[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    return pa.table([group.column("block"), group.column("bucket"), binary(out)], names=["block", "bucket", "packed"]).cast(_PACKED_SCHEMA)
+
+
+def _prefixes(p: int, q: int, buckets: int):
+    """In a block: the shingles of prefixes that other sets have too, with their documents, by bucket."""
 
     def run(group: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        sigs, nodes, classes = [], [], []
-        for blob in group.column("packed").to_pylist():
-            n = int.from_bytes(blob[:8], "little")
-            rest = unpack(blob[8 + 8 * n :])
-            sigs.append(np.frombuffer(blob, "<u8", n, 8))
-            nodes.append(np.frombuffer(rest, "<i8", n))
-            classes.append(np.frombuffer(rest, "<u2", n, 8 * n))
-        sig, node, kind = (np.concatenate(x) for x in (sigs, nodes, classes))
-        order = np.argsort(sig, kind="stable")
-        s = sig[order]
-        edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        count = np.diff(np.append(edge, len(s)))
-        shared = np.repeat(count > 1, count)
-        order, s = order[shared], s[shared]
-        count = count[count > 1]
-        if not len(count):
-            return _MEETING.empty_table()
-        edge = np.cumsum(count) - count
-        node, kind = node[order], kind[order]
-        least = np.repeat(np.minimum.reduceat(node, edge), count)
-        common = np.repeat(count > COMMON, count)
-        plain = ~common & (node != least)
-        pairs = np.unique(np.stack([node[plain], least[plain]]), axis=1)
-        classes_ = Sizes(p, q, 1 << 40) if common.any() else None
-        held = np.flatnonzero(common)
-        may = classes_.common[kind[held]] if len(held) else held
-        zero = lambda n: np.zeros(n, np.int64)
-        columns = [np.concatenate([pairs[0], node[held]]), np.concatenate([pairs[1], zero(len(held))]), np.concatenate([zero(pairs.shape[1]), s[held].view(np.int64)]), np.concatenate([zero(pairs.shape[1]) - 1, kind[held].astype(np.int64)]), np.concatenate([zero(pairs.shape[1]), may])]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], schema=_MEETING)
+        blobs = dict(zip(group.column("bucket").to_pylist(), group.column("packed").to_pylist(), strict=True))
+        node, _, _, size, flat = _unpack(blobs.pop(-1), *_SETS)
+        tokens, _, _, _ = _dealt(flat, buckets)
+        level = np.concatenate([_unpack(blobs[b], "u1")[0] for b in sorted(blobs)])
+        rank = np.argsort(tokens)
+        level = level[rank][np.searchsorted(tokens[rank], flat)]
+        size = size.astype(np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((flat, level, owner))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        use = order[(place <= np.repeat(size - least_overlap(size, p, q), size)) & (level[order] > 1)]
+        to = (flat[use] >> np.uint64(32)).astype(np.int64) % buckets
+        by = np.argsort(to, kind="stable")
+        use, to = use[by], to[by]
+        cuts = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
+        number = group.column("block")[0].as_py()
+        rows = [(int(to[a]), _pack(flat[use[a:b]], node[owner[use[a:b]]])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.Table.from_batches([_packed(number, rows)])
 
     return run
 
 
-_MEETING = pa.schema([(n, pa.int64()) for n in ("u", "v", "sig", "class", "may")])
+def _meetings(group: pa.Table) -> pa.Table:
+    """In a bucket: a link from each document to the smallest one that shares a prefix shingle with it."""
+    token, node = (np.concatenate(x) for x in zip(*(_unpack(blob, "<u8", "<i8") for blob in group.column("packed").to_pylist()), strict=True))
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    least = np.repeat(node[starts], np.diff(np.append(starts, len(token))))
+    pairs = np.stack([node, least], axis=1)[node != least]
+    u, v = np.unique(pairs, axis=0).T if len(pairs) else (node[:0], least[:0])
+    return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+# step 3: T-occurrence searches
 
 
 class Index:
-    """Inverted lists over the sets of one search."""
+    """Inverted lists over the sets of one search; lists are in the order of the sets."""
 
     def __init__(self, sets: list[np.ndarray]):
         flat = np.concatenate(sets)
@@ -231,18 +321,28 @@ class Index:
         self.starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
         self.tokens = sorted_[self.starts]
         self.counts = np.diff(np.append(self.starts, len(flat)))
-        self.n = len(sets)
 
-    def at_least(self, query: np.ndarray, t: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents among `allowed` on t lists of the query or more, and on how many. DivideSkip."""
+    def at_least(self, query: np.ndarray, t: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets low .. high - 1 on t lists of the query or more, and on how many. DivideSkip.
+
+        Short lists are merged: counted in a window if they fill it, else by sorting their
+        runs; the work follows the lists, not the number of sets. Long lists are probed.
+        """
         lists = np.searchsorted(self.tokens, query)
         by = lists[np.argsort(self.counts[lists], kind="stable")]
-        longest = int(self.counts[by[-1]])
-        n_long = min(t - 1, int(t / (0.0085 * math.log2(longest + 1) + 1)), int((self.counts[by] > 1).sum()))
+        n_long = min(t - 1, int(t / (math.log2(int(self.counts[by[-1]]) + 1) + 1)), int((self.counts[by] > 1).sum()))
         short, long = by[: len(by) - n_long], by[len(by) - n_long :]
-        merged = np.bincount(self.owners[ragged(self.starts[short], self.counts[short])], minlength=self.n)
-        found = np.flatnonzero((merged >= max(1, t - n_long)) & allowed)
-        hits = merged[found]
+        merged = self.owners[ragged(self.starts[short], self.counts[short])]
+        merged = merged[(merged >= low) & (merged < high)] - low
+        if len(merged) >= high - low:
+            hits = np.bincount(merged, minlength=high - low)
+            found = np.flatnonzero(hits >= max(1, t - n_long))
+            hits = hits[found]
+        else:
+            found, hits = np.unique(merged, return_counts=True)
+            enough = hits >= max(1, t - n_long)
+            found, hits = found[enough], hits[enough]
+        found = found + low
         for left, k in zip(range(n_long, 0, -1), long[::-1].tolist(), strict=True):
             if not len(found):
                 break
@@ -255,101 +355,132 @@ class Index:
         return found[done], hits[done]
 
 
-def search(nodes: list[int], sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
-    """Exact components of one block: (node, smallest node linked with it), nodes that link with none left out."""
-    first: dict[bytes, int] = {}
-    rows: list[tuple[int, int]] = []
-    for node, own in sorted(zip(nodes, sets, strict=True), key=lambda x: x[0]):
-        kept = first.setdefault(own.tobytes(), node)
-        if kept != node:
-            rows.append((node, kept))
-    whole = sorted(((len(raw) // 8, node, raw) for raw, node in first.items()), key=lambda x: x[:2])
-    names = np.array([w[1] for w in whole], np.int64)
-    size = np.array([w[0] for w in whole], np.int64)
-    some = [np.frombuffer(w[2], np.uint64) for w in whole]
-    root = np.arange(len(whole))
-    if len(whole) > 1:
-        index = Index(some)
-        for x in range(1, len(whole)):
-            least = -(-int(size[x]) * p // q)
-            low = int(np.searchsorted(size, least))
-            if low >= x:
-                continue
-            allowed = np.zeros(len(whole), bool)
-            allowed[low:x] = root[low:x] != root[x]
-            if not allowed.any():
-                continue
-            found, overlap = index.at_least(some[x], least, allowed)
-            linked = found[q * overlap >= p * (size[x] + size[found] - overlap)]
-            if len(linked):
-                joined = np.unique(root[np.append(linked, x)])
+def search(nodes: list[int], sets: list[np.ndarray], copies: list[int], chunks: list[int] | None, p: int, q: int) -> tuple[list[int], list[int]]:
+    """For each set of one block the smallest node linked with it, and with how many documents it links.
+
+    Sets are distinct. With `chunks`, only sets of different chunks are held against each other.
+    """
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), nodes[i]))
+    size = np.array([len(sets[i]) for i in order], np.int64)
+    weight = np.array([copies[i] for i in order], np.int64)
+    chunk = None if chunks is None else np.array([chunks[i] for i in order], np.int64)
+    index, root, links = Index([sets[i] for i in order]), np.arange(len(order)), np.zeros(len(order), np.int64)
+    least = least_overlap(size, p, q)
+    lows = np.searchsorted(size, least)
+    for x in range(1, len(order)):
+        if lows[x] >= x:
+            continue
+        found, overlap = index.at_least(sets[order[x]], int(least[x]), int(lows[x]), x)
+        linked = found[q * overlap >= p * (size[x] + size[found] - overlap)]
+        if chunk is not None:
+            linked = linked[chunk[linked] != chunk[x]]
+        if len(linked):
+            links[x] += weight[linked].sum()
+            links[linked] += weight[x]
+            joined = np.unique(root[np.append(linked, x)])
+            if len(joined) > 1:
                 root[np.isin(root, joined)] = joined[0]
-    smallest = np.full(len(whole), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, root, names)
-    final = dict(zip(names.tolist(), smallest[root].tolist(), strict=True))
-    out = [(n, r) for n, r in final.items() if n != r]
-    return out + [(n, final[k]) for n, k in rows]
+    smallest = np.full(len(order), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, root, np.array([nodes[i] for i in order], np.int64))
+    roots, n_links = [0] * len(order), [0] * len(order)
+    for k, i in enumerate(order):
+        roots[i], n_links[i] = int(smallest[root[k]]), int(links[k])
+    return roots, n_links
+
+
+def _single_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of blocks, each as a row."""
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            node, copies, digests, size, flat = _unpack(blob, *_SETS)
+            raw, sets = digests.tobytes(), flat.tobytes()
+            ends = (8 * np.cumsum(size, dtype=np.int64)).tolist()
+            columns = [pa.array(node), binary([raw[_DIGEST * i : _DIGEST * (i + 1)] for i in range(len(node))]), pa.array(copies), pa.array(size.astype(np.int64)), binary([sets[a:b] for a, b in zip([0, *ends], ends, strict=False)])]
+            yield pa.record_batch(columns, ["node", "digest", "copies", "n", "set"])
+
 
+def _searched(p: int, q: int):
+    """Searches blocks, whose rows come together: root, i, j, chunk, node, digest, copies, set."""
 
-def _searched(width: int, p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, sets = None, [], []
+        at, held = None, {}
 
         def found() -> pa.RecordBatch:
-            rows = search(nodes, sets, p, q) if len(nodes) > 1 else []
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["u", "v"])
+            chunks, nodes, copies, sets = zip(*held.values(), strict=True)
+            roots, links = search(list(nodes), list(sets), list(copies), list(chunks) if at[1] != at[2] else None, p, q)
+            rows = [(d, n, r, k) for d, n, r, k in zip(held, nodes, roots, links, strict=True) if k]
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["digest", "node", "root", "links"])
 
         for batch in batches:
-            hashes, edges = shingle_sets(*as_bytes(batch.column(4)), width)
-            for i, (block, a, b, node) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
-                if (block, a, b) != at:
-                    if nodes:
+            for root, i, j, chunk, node, digest, copies, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, i, j) != at:
+                    if len(held) > 1:
                         yield found()
-                    at, nodes, sets = (block, a, b), [], []
-                nodes.append(node)
-                sets.append(hashes[edges[i] : edges[i + 1]].copy())
-        if nodes:
+                    at, held = (root, i, j), {}
+                held[digest] = (chunk, node, copies, np.frombuffer(raw, "<u8"))
+        if len(held) > 1:
             yield found()
 
     return run
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch, *, width: int = 5, p: int = 80, q: int = 100, search_shingles: int = SEARCH_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of (doc_id, text).
+    """doc_id, n_shingles, component_id, n_links for each row of (doc_id, text).
 
     Documents link if q * intersection >= p * union of their sets of distinct `width`-word
-    shingles; component_id is the smallest doc_id that links reach. Documents without words
-    link with none. Rows with a null doc_id are left alone, with a null component_id; rows of
-    one doc_id count as one document that has the links of each. Other columns are ignored.
+    shingles; component_id is the smallest doc_id that links reach, n_links the number of other
+    rows that the row links with, exact copies included. Documents without words link with none. Rows
+    with a null doc_id are left alone, with a null component_id; rows of one doc_id count as one
+    document that has the links of each. Other columns are ignored. Building the frame runs jobs.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     size = text_bytes(docs)
-    buckets = parts_for(spark, size / 5 * 2.2 * 2 * (q - p) / (q + p), BUCKET_SIGNATURES)
-    met = scratch.keep(texts.mapInArrow(_met(width, p, q, buckets), "doc_id long, n_shingles long, twin long, bucket int, packed binary"))
-    rows = met.where("bucket is null").select("doc_id", "n_shingles", "twin")
-    schema = "u long, v long, sig long, class long, may long"
-    meetings = scratch.keep(met.where("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_meetings(p, q), schema))
-    edges = meetings.where("class < 0").select("u", "v")
-    held = meetings.where("class >= 0")
-    kept = held.join(held.groupBy("u", "class").agg(F.count("*").alias("n"), F.max("may").alias("most")).where("n > most").select("u", "class"), ["u", "class"])
-    firsts = kept.groupBy("sig").agg(F.min("u").alias("v"))
-    edges = edges.unionByName(kept.drop("v").join(firsts, "sig").select("u", "v"))
-    places = components(edges, scratch)
-    sized = places.join(rows.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node")
-    chunks = scratch.keep(sized.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n_shingles") / search_shingles)).cast("int").alias("k"), F.count("*").alias("n")))
-    chunks = chunks.withColumn("k", F.when(F.col("k") < 3, 1).otherwise(F.col("k")))
-    whole = not chunks.where("k > 1").limit(1).count()
-    split = places.join(chunks, "root").withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    tiles = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("node", "root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
-    parts = parts_for(spark, size, 16 << 20)
-    joined = texts.join(tiles, texts["doc_id"] == tiles["node"]).select("root", "i", "j", "node", "text")
-    groups = joined.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    links = groups.mapInArrow(_searched(width, p, q), "u long, v long")
-    roots = links.select(F.col("u").alias("node"), F.col("v").alias("root")) if whole else components(links, scratch)
-    roots = roots.groupBy("node").agg(F.min("root").alias("root"))
-    final = rows.join(roots, rows["twin"] == roots["node"], "left")
-    return final.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "twin")).alias("component_id"))
+    buckets = parts_for(spark, size / 6 * min(1.0, SLICE * (q - p) / q), BUCKET_SHINGLES)
+    met = scratch.keep(texts.mapInArrow(_counted(width, p, q, buckets), f"doc_id long, n_shingles long, digest binary, {_PACKED}"))
+    rows = met.where("block is null").select("doc_id", "n_shingles", "digest")
+    asked = met.where("block is not null").select("block", "bucket", "packed")
+    answers = asked.where("bucket >= 0").groupBy("bucket").applyInArrow(_alone, _PACKED)
+    left = asked.where("bucket < 0").unionByName(answers).groupBy("block").applyInArrow(_left, "digest binary").distinct()
+    whole = rows.where(f"doc_id is not null and length(digest) = {_DIGEST}")
+    groups = whole.groupBy("digest").agg(F.min("doc_id").alias("twin"), F.count("*").alias("copies"))
+    groups = scratch.keep(groups.join(left.withColumn("may", F.lit(True)), "digest", "left"))
+
+    may = groups.where("may").select("twin", "digest", "copies")
+    few = may.count() <= BROADCAST_ROWS
+    chosen = texts.join(F.broadcast(may) if few else may, texts["doc_id"] == may["twin"]).select("twin", "digest", "copies", "text")
+    sets = scratch.keep(chosen.mapInArrow(_sets(width), _PACKED))
+    held = sets.mapInArrow(_asked(buckets), _PACKED).groupBy("bucket").applyInArrow(_levels, _PACKED)
+    prefixes = sets.unionByName(held).groupBy("block").applyInArrow(_prefixes(p, q, buckets), _PACKED)
+    places = components(prefixes.groupBy("bucket").applyInArrow(_meetings, "u long, v long"), scratch)
+    repeated = scratch.keep(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    places = places.unionByName(repeated.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+
+    single = sets.select("packed").mapInArrow(_single_sets, "node long, digest binary, copies long, n long, set binary")
+    placed = scratch.keep(single.join(places, "node"))
+    chunks = placed.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n") / search_shingles)).cast("int").alias("k"))
+    chunks = scratch.keep(chunks.withColumn("k", F.when(F.col("k") < 3, 1).otherwise(F.col("k"))))
+    split = chunks.where("k > 1").limit(1).count() > 0
+    tiles = placed.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int"))
+    tiles = tiles.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    tiles = tiles.select("root", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "digest", "copies", "set")
+    dealt = tiles.repartition(parts_for(spark, size, 16 << 20), "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    found = scratch.keep(dealt.mapInArrow(_searched(p, q), "digest binary, node long, root long, links long"))
+
+    links = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if split or repeated.limit(1).count():
+        again = rows.join(repeated, "doc_id").join(groups, "digest", "left").select(F.col("doc_id").alias("u"), F.coalesce("twin", "doc_id").alias("v"))
+        roots = components(links.unionByName(again), scratch)
+    else:  # a node is in one search
+        roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = roots.groupBy(F.col("node").alias("twin")).agg(F.min("root").alias("root"))
+    facts = groups.join(found.groupBy("digest").agg(F.sum("links").alias("links")), "digest", "left")
+    facts = facts.where("copies > 1 or links is not null").select("digest", "twin", "copies", "links")
+    final = rows.join(facts, "digest", "left").withColumn("twin", F.coalesce("twin", "doc_id")).join(roots, "twin", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "twin"))
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).otherwise(0)
+    return final.select("doc_id", "n_shingles", component.alias("component_id"), n_links.cast("long").alias("n_links"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,12 +85,17 @@ def components_by_force(rows, width, p, q):
             x = root[x]
         return x
 
+    def alike(x, y):
+        return bool(x and y) and q * len(x & y) >= p * len(x | y)
+
     for a in keys:
         for b in keys:
-            if a < b and any(x and y and q * len(x & y) >= p * len(x | y) for x in sets[a] for y in sets[b]):
+            if a < b and any(alike(x, y) for x in sets[a] for y in sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return sorted(((k, len(s), find(k) if k is not None else None) for k in root for s in sets[k]), key=keyed)
+    every = [s for k in keys for s in sets[k]]
+    n_links = lambda k, s: max(0, sum(alike(s, x) for x in every) - 1) if k is not None else 0
+    return sorted(((k, len(s), find(k) if k is not None else None, n_links(k, s)) for k in root for s in sets[k]), key=keyed)
 
 
 def test_join_of_odd_documents(spark, odd, none):
@@ -99,10 +104,11 @@ def test_join_of_odd_documents(spark, odd, none):
     assert jaccard.jaccard_components(none, Scratch(spark)).count() == 0
 
 
-@pytest.mark.parametrize("width,p,common,shingles", [(3, 90, 256, 4_000_000), (5, 80, 4, 60), (1, 60, 3, 100)])
-def test_join_of_random_documents(spark, monkeypatch, width, p, common, shingles):
+@pytest.mark.parametrize("width,p,broadcast,shingles", [(3, 90, 1 << 18, 4_000_000), (5, 80, 0, 60), (1, 60, 1 << 18, 100)])
+def test_join_of_random_documents(spark, monkeypatch, width, p, broadcast, shingles):
     random.seed(p)
-    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 300)
     monkeypatch.setattr(jaccard, "_BLOCK", 3000)
     bases = [[random.choice("ABCDEFGHIJKLMNOP") + random.choice("xyz") for _ in range(random.choice([4, 12, 40, 90]))] for _ in range(12)]
     rows = []
@@ -111,11 +117,28 @@ def test_join_of_random_documents(spark, monkeypatch, width, p, common, shingles
         for _ in range(random.choice([0, 0, 1, 2, 5])):
             own[random.randrange(len(own))] = random.choice("QRST")
         rows.append((k * 7 % 120, " ".join([*["hot", "line", "of", "many", "texts", "here"] * (k % 2), *own])))
+    rows += [(k, text + " and more words of its own") for k, text in rows[:9]]  # of one doc_id
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = jaccard.jaccard_components(docs, Scratch(spark), width=width, p=p, search_shingles=shingles)
     assert sorted(map(tuple, got.collect()), key=keyed) == components_by_force(rows, width, p, 100)
 
 
+def test_searches_find_every_link():
+    random.seed(2)
+    for p in (50, 80, 90):
+        sets, seen = [], set()
+        for _ in range(60):
+            own = np.unique(np.array(random.choice(sets) if sets and random.random() < 0.6 else [random.randint(0, 99) for _ in range(30)], np.uint64))
+            own = np.unique(np.append(own[: random.randint(len(own) - 2, len(own))], np.uint64(random.randint(0, 99))))
+            if own.tobytes() not in seen:
+                seen.add(own.tobytes())
+                sets.append(own)
+        own = [set(s.tolist()) for s in sets]
+        copies = [random.randint(1, 3) for _ in sets]
+        want = [sum(c for y, c in zip(own, copies, strict=True) if y is not x and 100 * len(x & y) >= p * len(x | y)) for x in own]
+        assert jaccard.search(list(range(len(sets))), sets, copies, None, p, 100)[1] == want
+
+
 def test_components(spark):
     random.seed(9)
     edges = [(random.randint(0, 300), random.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
