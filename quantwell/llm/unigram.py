@@ -45,10 +45,13 @@ VOCABULARY, SEEDS = 32_000, 100_000
 SUBSTRING, WHOLE = 4, 16
 SCORE_UNIT = 2.0**-12
 #: Entries of a partial count before it is passed on, chunks segmented at a time, bands of a doubling in the seeds' order.
-_HELD, _AT_ONCE, _BANDS = 500_000, 8192, 16
+_HELD, _AT_ONCE, _BANDS = 500_000, 2048, 16
+#: Bytes of distinct chunks whose substrings are counted at a time.
+_BLOCK = 2 << 20
 
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _COUNTERS: dict[str, "UnigramCounter"] = {}
+_TOOLS: dict = {}
 
 
 def vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
@@ -65,6 +68,13 @@ def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
+def chunk_keys(text: str) -> list[str]:
+    """The chunks of a marked text, each without its first mark."""
+    if MARK in text or "  " in text or text[:1] in ("", " "):
+        return [chunk[1:] for chunk in _CHUNK.findall(marked(text))]
+    return text.split(" ")
+
+
 class UnigramCounter:
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool):
         import ahocorasick
@@ -77,6 +87,7 @@ class UnigramCounter:
         self.byte_fallback = byte_fallback
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in pieces)
+        self.alphabet = {p for p, _ in pieces if len(p) == 1}
         self.seen: dict[str, int] = {}
 
     def segment_count(self, text: str) -> int:
@@ -85,6 +96,15 @@ class UnigramCounter:
         if not n:
             return 0
         none = float("-inf")
+        if self.alphabet.issuperset(text):  # no character is unknown, so each position is reached; the start is at -1
+            best, count = [none] * (n + 1), [0] * (n + 1)
+            best[n] = 0.0
+            for end, (length, score) in self.automaton.iter(text):
+                start = end - length
+                score += best[start]
+                if score > best[end]:
+                    best[end], count[end] = score, count[start] + 1
+            return count[n - 1]
         best, count, lone = [none] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         best[0] = 0.0
         done = 0  # positions up to here are final
@@ -113,19 +133,18 @@ class UnigramCounter:
         return count[n]
 
     def count(self, text: str) -> int:
-        line = marked(text)
         if not self.apart:
-            return self.segment_count(line)
-        total, seen = 0, self.seen
-        for chunk in _CHUNK.findall(line):
-            n = seen.get(chunk)
-            if n is None:
-                n = self.segment_count(chunk)
-                if len(chunk) <= LONGEST_REMEMBERED:
-                    if len(seen) >= REMEMBERED_CHUNKS:
-                        seen.clear()
-                    seen[chunk] = n
-            total += n
+            return self.segment_count(marked(text))
+        keys, seen = chunk_keys(text), self.seen
+        fresh = set(keys).difference(seen)
+        for key in fresh:
+            seen[key] = self.segment_count(MARK + key)
+        total = sum(map(seen.__getitem__, keys))
+        for key in fresh:
+            if len(key) >= LONGEST_REMEMBERED:
+                del seen[key]
+        if len(seen) >= REMEMBERED_CHUNKS:
+            seen.clear()
         return total
 
 
@@ -135,8 +154,8 @@ def counter(path: str) -> UnigramCounter:
     return _COUNTERS[path]
 
 
-def _emptied(counts: Counter, name: str) -> pa.RecordBatch:
-    out = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], [name, "n"])
+def _emptied(counts: Counter) -> pa.RecordBatch:
+    out = pa.record_batch([pa.array([MARK + key for key in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["chunk", "n"])
     counts.clear()
     return out
 
@@ -145,25 +164,32 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for block in blocks(batches):
         for text in block.column(1).to_pylist():
-            counts.update(_CHUNK.findall(marked(text)))
+            counts.update(chunk_keys(text))
         if len(counts) >= _HELD:
-            yield _emptied(counts, "chunk")
-    yield _emptied(counts, "chunk")
+            yield _emptied(counts)
+    yield _emptied(counts)
 
 
 def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            size = len(chunk)
-            for length in range(1, min(SUBSTRING, size) + 1):
-                for a in range(size - length + 1):
-                    counts[chunk[a : a + length]] += n
-            if SUBSTRING < size <= WHOLE:
-                counts[chunk] += n
-            if len(counts) >= _HELD:
-                yield _emptied(counts, "piece")
-    yield _emptied(counts, "piece")
+    """Counts of the substrings of up to SUBSTRING characters of distinct chunks, block by block."""
+    for block in blocks(batches, _BLOCK, 0):
+        chunks, n = block.column(0).to_pylist(), block.column(1).to_numpy()
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        joined = "".join(chunks)
+        _, letters = np.unique(np.frombuffer(joined.encode("utf-32-le"), "<u4"), return_inverse=True)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(joined))  # characters from here to the end of the chunk
+        weight = np.repeat(n, size)
+        at, key = np.arange(len(joined)), np.zeros(len(joined), np.int64)
+        for length in range(1, SUBSTRING + 1):
+            use = left[at] >= length
+            at, key = at[use], key[use]
+            _, first, key = np.unique(key * (letters.max(initial=0) + 1) + letters[at + length - 1], return_index=True, return_inverse=True)
+            total = np.bincount(key, weights=weight[at], minlength=len(first)).astype(np.int64)
+            yield pa.record_batch([pa.array([joined[a : a + length] for a in at[first].tolist()], pa.string()), pa.array(total)], ["piece", "n"])
+
+
+def _key(pieces: list[tuple[str, float]]) -> str:
+    return hashlib.sha256(repr(pieces).encode()).hexdigest()
 
 
 def _scores(counts: dict[str, int]) -> list[tuple[str, float]]:
@@ -174,7 +200,9 @@ def _scores(counts: dict[str, int]) -> list[tuple[str, float]]:
 
 def _seeds(chunks: DataFrame, scratch: Scratch, most: int) -> dict[str, int]:
     """Counts of all characters, and of the substrings with the most text: whole bands of equal weight, `most` at most."""
-    pieces = scratch.keep(chunks.mapInArrow(_substrings, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
+    short = chunks.mapInArrow(_substrings, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    whole = chunks.where(F.length("chunk").between(SUBSTRING + 1, WHOLE)).select(F.col("chunk").alias("piece"), "n")
+    pieces = scratch.keep(short.unionByName(whole))
     size = F.length("piece")
     banded = pieces.withColumn("band", F.floor(F.log2(F.col("n") * size) * _BANDS))
     left, least = most, None
@@ -189,18 +217,29 @@ def _seeds(chunks: DataFrame, scratch: Scratch, most: int) -> dict[str, int]:
     return out
 
 
-def _segmented(pieces: list[tuple[str, float]]):
+def _segmented(pieces: list[tuple[str, float]], key: str):
+    """How often the best segmentations of chunks have each piece.
+
+    No piece goes on across a mark and sums of scores are exact, so many chunks are segmented
+    as one text, and a piece belongs to the chunk in which it ends.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer, models
 
-        tool = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
+        if key not in _TOOLS:
+            _TOOLS.clear()
+            _TOOLS[key] = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
+        width = np.array([1, *(len(p) for p, _ in pieces)], np.int64)
         total = np.zeros(len(pieces) + 1, np.int64)
         for batch in batches:
             texts, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for a in range(0, len(texts), _AT_ONCE):
-                ids = [e.ids for e in tool.encode_batch_fast(texts[a : a + _AT_ONCE], add_special_tokens=False)]
-                sizes = [len(x) for x in ids]
-                np.add.at(total, np.fromiter((i for x in ids for i in x), np.int64, sum(sizes)), np.repeat(n[a : a + _AT_ONCE], sizes))
+                some = texts[a : a + _AT_ONCE]
+                ids = np.array(_TOOLS[key].encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
+                ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+                whose = np.searchsorted(ends, np.cumsum(width[ids]), "left")
+                np.add.at(total, ids, n[a : a + _AT_ONCE][whose])
         used = np.flatnonzero(total[1:])
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[1:][used])], ["id", "n"])
 
@@ -209,7 +248,7 @@ def _segmented(pieces: list[tuple[str, float]]):
 
 def _used(chunks: DataFrame, pieces: list[tuple[str, float]]) -> dict[str, int]:
     """How often the best segmentations of all chunks have each piece; once for a character that none has."""
-    rows = chunks.mapInArrow(_segmented(pieces), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # no more than pieces
+    rows = chunks.mapInArrow(_segmented(pieces, _key(pieces)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # no more than pieces
     return {p: 1 for p, _ in pieces if len(p) == 1} | {pieces[r["id"]][0]: r["n"] for r in rows}
 
 
@@ -236,10 +275,11 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
 def count_pieces(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     """As count_tokens, by the pieces of a vocabulary without bytes."""
-    key = hashlib.sha256(repr(pieces).encode()).hexdigest()
+    key = _key(pieces)
 
     def own() -> UnigramCounter:
         if key not in _COUNTERS:
+            _COUNTERS.clear()
             _COUNTERS[key] = UnigramCounter(pieces, False)
         return _COUNTERS[key]
 
