@@ -74,52 +74,58 @@ class Weights:
 
 
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and the logarithms' normalizer."""
-    top = x.max(1, keepdims=True)
+    """Probabilities of each column and the logarithms' normalizer; reductions run along whole rows."""
+    top = x.max(0)
     e = np.exp(x - top)
-    total = e.sum(1, keepdims=True)
-    return e / total, (top + np.log(total))[:, 0]
+    total = e.sum(0)
+    e /= total
+    return e, top + np.log(total)
 
 
 def log_probabilities(w: Weights, context: np.ndarray, target: np.ndarray, gradients: list[np.ndarray] | None = None) -> np.ndarray:
     """log P(target | context) of each row; adds the mean gradient of its negative to `gradients`."""
     order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
-    context, target = context[order], target[order]
+    sides, target = [context[:, k].take(order) for k in range(len(PLACES))], target.take(order)
     cluster, member = target // MEMBERS, target % MEMBERS
     n, rows = len(target), np.arange(len(target))
-    total = w.hidden + sum(w.places[k][context[:, k]] for k in range(len(PLACES)))
-    h = np.empty((n, HIDDEN + 1), np.float32)
-    np.tanh(total, out=h[:, :HIDDEN])
-    h[:, HIDDEN] = 1
-    logits = h @ w.cluster
+    total = w.places[0].take(sides[0], axis=0)
+    for k in range(1, len(PLACES)):
+        total += w.places[k].take(sides[k], axis=0)
+    total += w.hidden
+    h = np.empty((HIDDEN + 1, n), total.dtype)
+    np.tanh(total.T, out=h[:HIDDEN])
+    h[HIDDEN] = 1
+    logits = w.cluster.T @ h
     p, norm = _softmax(logits)
-    out = logits[rows, cluster] - norm
+    out = logits[cluster, rows] - norm
     if gradients is not None:
-        p[rows, cluster] -= 1
+        p[cluster, rows] -= 1
         p /= n
-        gradients[2] += h.T @ p
-        back = p @ w.cluster.T
+        gradients[2] += h @ p.T
+        back = w.cluster @ p
     edges = np.searchsorted(cluster, np.arange(CLUSTERS + 1))
     for c in np.unique(cluster):
         a, b = edges[c], edges[c + 1]
-        inner = h[a:b] @ w.member[c]
+        inner = w.member[c].T @ h[:, a:b]
         q, norm = _softmax(inner)
         own = member[a:b]
-        out[a:b] += inner[rows[: b - a], own] - norm
+        out[a:b] += inner[own, rows[: b - a]] - norm
         if gradients is not None:
-            q[rows[: b - a], own] -= 1
+            q[own, rows[: b - a]] -= 1
             q /= n
-            gradients[3][c] += h[a:b].T @ q
-            back[a:b] += q @ w.member[c].T
+            gradients[3][c] += h[:, a:b] @ q.T
+            back[:, a:b] += w.member[c] @ q
     if gradients is not None:
-        d = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
+        np.multiply(h, h, out=h)
+        np.subtract(1, h, out=h)
+        d = np.ascontiguousarray((back[:HIDDEN] * h[:HIDDEN]).T)
         gradients[1] += d.sum(0)
         for k in range(len(PLACES)):
-            ids = context[:, k].astype(np.uint16)
+            ids = sides[k].astype(np.uint16)
             by = np.argsort(ids, kind="stable")
-            ids = ids[by]
+            ids = ids.take(by)
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            gradients[0][k][ids[first]] += np.add.reduceat(d[by], first, axis=0)
+            gradients[0][k][ids[first]] += np.add.reduceat(d.take(by, axis=0), first, axis=0)
     scores = np.empty(n, np.float32)
     scores[order] = out
     return scores
@@ -139,7 +145,7 @@ def examples(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     reach = max(PLACES)
     sizes = np.diff(first)
     place = np.arange(len(ids)) + reach * (1 + np.repeat(np.arange(len(sizes)), sizes))
-    line = np.full(len(ids) + reach * (len(sizes) + 1), WORDS, np.int64)
+    line = np.full(len(ids) + reach * (len(sizes) + 1), WORDS, np.int32)
     line[place] = ids
     return np.stack([line[place + k] for k in PLACES], axis=1), ids
 

@@ -83,6 +83,18 @@ def test_word_table(odd, none):
     assert wordtable.encode_decode(none, BYTE).count() == 0
 
 
+def test_word_table_in_many_scripts(spark):
+    random.seed(8)
+    bits = ["the ", "don’t ", "— ", "Привет, ", "мир ", "中文字符", "。", "日本語 ", "αβγ ", "١٢٣ ", "½ ", "\u00a0", "\u2003 ", "e\u0301 ", "😀👩‍👩‍👧 ", "\n\n", "  ", "हिन्दी ", "שלום ", "'s ", "12 ", "<", "| "]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(0, 60))) for _ in range(120)] + ["— <|endoftext|> é", "<| — |>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tool = Tokenizer.from_file(BYTE)
+    got = {r.doc_id: (np.frombuffer(bytes(r.ids), "<u4").tolist(), r.decoded) for r in wordtable.encode_decode(docs, BYTE).collect()}
+    assert got == {k: (ids, tool.decode(ids, skip_special_tokens=False)) for k, ids in enumerate(library(BYTE, texts))}
+    words, codes, at, plain = wordtable._split(pa.table([pa.array([0]), pa.array(["Привет — мир"])], names=["doc_id", "text"]), BYTE)
+    assert not plain.any() and words == ["Привет".encode(), " —".encode(), " мир".encode()] and at.tolist() == [0, 3]
+
+
 @pytest.mark.parametrize("fallback", [True, False])
 def test_unigram_counts_as_the_library_does(fallback):
     pieces = [("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁", -3.0), ("▁a", -2.5), ("bb", -2.0), ("abb", -3.0), ("é", -2.0)]
