@@ -483,6 +483,18 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, *, width: int = 5, p:
     return final.select("doc_id", "n_shingles", component.alias("component_id"), n_links.cast("long").alias("n_links"))
 
 
+def first_of_each(docs: DataFrame, scratch: Scratch, *, width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+    """The rows of (doc_id, text, ...) without those whose component has a smaller doc_id; all columns as they are.
+
+    Rows of the smallest doc_id of a component stay, all of them if it is repeated; so do rows
+    with a null doc_id and documents without words.
+    """
+    groups = jaccard_components(docs, scratch, width=width, p=p, q=q)
+    copies = scratch.keep(groups.where("component_id < doc_id").select(F.col("doc_id").alias("copy")).distinct())
+    few = copies.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(copies) if few else copies, docs["doc_id"].cast("long") == copies["copy"], "left_anti")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by 3-word shingles at a similarity of 0.9."""
     return jaccard_components(documents(spark, sf_dir), Scratch(spark), width=3, p=90, q=100)

@@ -123,6 +123,16 @@ def test_join_of_random_documents(spark, monkeypatch, width, p, broadcast, shing
     assert sorted(map(tuple, got.collect()), key=keyed) == components_by_force(rows, width, p, 100)
 
 
+def test_first_of_each_component(spark, odd, none, monkeypatch):
+    rows, docs = odd
+    small = {k for k, _, c, _ in components_by_force(rows, 5, 80, 100) if k == c}
+    for most in (1 << 18, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
+        got = jaccard.first_of_each(docs, Scratch(spark))
+        assert got.columns == docs.columns and sorted((r.doc_id or 0) for r in got.collect()) == sorted(k or 0 for k, _ in rows if k is None or k in small)
+    assert jaccard.first_of_each(none, Scratch(spark)).count() == 0
+
+
 def test_searches_find_every_link():
     random.seed(2)
     for p in (50, 80, 90):
