@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quantwell.llm.common import Scratch, documents
-from quantwell.llm.jaccard import jaccard_components
+from quantwell.llm.jaccard import first_of_each
 from quantwell.llm.packing import pack_documents
 from quantwell.llm.quality import keep_good
 from quantwell.llm.secrets import redact_secrets
@@ -26,9 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies: five-word shingles, similarity 0.8."""
-    groups = jaccard_components(docs, Scratch(spark), width=5, p=80, q=100)
-    copies = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return first_of_each(docs, Scratch(spark), width=5, p=80, q=100)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
