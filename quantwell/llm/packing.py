@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from quantwell.llm.bpe import encoder
 from quantwell.llm.common import Scratch, blocks, documents, parts_for, slices, text_column
 
-#: Documents and gaps of one range.
-RANGE_ROWS = 16_000
+#: Documents and gaps of one range, while there are no more ranges than MOST_RANGES; beyond, ranges grow
+#: with the table, so that the driver holds a few numbers for each of a bounded number of ranges.
+RANGE_ROWS, MOST_RANGES = 16_000, 1 << 16
 
 GAP, DOCUMENT = 0, 1
 #: What a sweep says of a row: placed, left gap that holds all smaller ranges' documents, other gap, left document.
@@ -106,23 +107,23 @@ def _claims(counts: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int
     return out
 
 
-def _claimed(rows: DataFrame, claims: list[tuple[int, int, int, int]]) -> DataFrame:
-    """Adds the number of its gap to the rows that a claim (part, first rank, rows, rows a gap) covers."""
+def _claimed(rows: DataFrame, claims: list[tuple[int, int, int, int, int, int, int]]) -> DataFrame:
+    """Adds to left documents and open gaps the number of the gap that a claim gives them, null for those without one."""
     start, table = 0, []
-    for part, rank, n, each in claims:
-        table.append((part, rank, rank + n, each, start))
-        start += -(-n // each)
-    side = rows.sparkSession.createDataFrame(table, "c_part int, c_from long, c_to long, c_each long, c_start long")  # two rows a range at most
-    on = (F.col("part") == F.col("c_part")) & (F.col("rank") >= F.col("c_from")) & (F.col("rank") < F.col("c_to"))
+    for part, rank, docs, gap_part, gap_rank, gaps, each in claims:
+        table += [(LEFT, part, rank, rank + docs, each, start), (OPEN_GAP, gap_part, gap_rank, gap_rank + gaps, 1, start)]
+        start += gaps
+    side = rows.sparkSession.createDataFrame(table, "c_what int, c_part int, c_from long, c_to long, c_each long, c_start long")  # 4 * MOST_RANGES rows at most: a claim ends a range's documents or its gaps
+    on = (F.col("what") == F.col("c_what")) & (F.col("part") == F.col("c_part")) & (F.col("rank") >= F.col("c_from")) & (F.col("rank") < F.col("c_to"))
     number = F.col("c_start") + F.floor((F.col("rank") - F.col("c_from")) / F.col("c_each"))
-    return rows.join(F.broadcast(side), on, "left").withColumn("claim", number.cast("long")).drop("c_part", "c_from", "c_to", "c_each", "c_start")
+    return rows.join(F.broadcast(side), on, "left").select("what", "part", "rank", "id", "size", "used", number.cast("long").alias("claim"))
 
 
 def best_fit(items: DataFrame, capacity: int, scratch: Scratch, *, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Packs (id, size), 1 <= size <= capacity, ids distinct: returns (id, bin, offset), a row for each item.
 
     bin is the id of the item at offset 0; the items of a bin follow one another without gaps.
-    An empty table gives an empty table.
+    An empty table gives an empty table. Building the frame runs the rounds.
     """
     spark = items.sparkSession
     docs = items.select(F.lit(DOCUMENT).alias("kind"), F.col("id").cast("long").alias("id"), F.col("size").cast("long").alias("size"), F.lit(0).cast("long").alias("used"))
@@ -130,7 +131,7 @@ def best_fit(items: DataFrame, capacity: int, scratch: Scratch, *, range_rows: i
     placed: list[DataFrame] = []
     n_docs, n_gaps = docs.count(), 0
     while n_docs:
-        parts = parts_for(spark, n_docs + n_gaps, range_rows)
+        parts = min(parts_for(spark, n_docs + n_gaps, range_rows), MOST_RANGES)
         by = [F.desc("size"), F.asc("kind"), F.asc("id")]
         rows = docs.unionByName(gaps)  # what fits one range needs no shuffle, and then best fit is exact
         ranged = (rows.repartitionByRange(parts, *by) if parts > 1 else rows.coalesce(1)).sortWithinPartitions(*by)
@@ -139,17 +140,21 @@ def best_fit(items: DataFrame, capacity: int, scratch: Scratch, *, range_rows: i
         is_left, is_open = F.col("what") == LEFT, F.col("what") == OPEN_GAP
         counts = swept.groupBy("part").agg(F.count_if(is_left).alias("docs"), F.max(F.when(is_left, F.col("size"))).alias("largest"), F.count_if(is_open).alias("gaps"), F.min(F.when(is_open, F.col("size"))).alias("smallest")).collect()
         claims = _claims([(r["part"], r["docs"], r["largest"], r["gaps"], r["smallest"]) for r in counts])
-        left, gap_columns = swept.where(is_left).select("part", "rank", "id", "size"), ["id", "size", "used"]
-        open_gaps = swept.where(is_open)
+        gap_columns = ["id", "size", "used"]
+        dealt = swept.where(is_left | is_open)
         if claims:
-            asks = _claimed(left, [(c[0], c[1], c[2], c[6]) for c in claims])
-            offers = _claimed(open_gaps, [(c[3], c[4], c[5], 1) for c in claims]).select(F.col("id").alias("bin"), F.col("size").alias("gap"), "used", "claim")
+            dealt = scratch.keep(_claimed(dealt, claims))
+            asks = dealt.where(is_left & F.col("claim").isNotNull()).select("rank", "id", "size", "claim")
+            offers = dealt.where(is_open & F.col("claim").isNotNull()).select(F.col("id").alias("bin"), F.col("size").alias("gap"), "used", "claim")
             before = F.sum("size").over(W.partitionBy("claim").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
-            met = scratch.keep(asks.where("claim is not null").withColumn("before", before).join(offers.where("claim is not null"), "claim"))
+            met = scratch.keep(asks.withColumn("before", before).join(offers, "claim"))
             placed.append(met.select("id", "bin", (F.col("used") + F.col("before")).alias("offset")))
             filled = met.groupBy(F.col("bin").alias("id")).agg((F.first("gap") - F.sum("size")).alias("size"), (F.first("used") + F.sum("size")).alias("used"))
-            left = asks.where("claim is null").drop("claim")
-            open_gaps = filled.select(*gap_columns).unionByName(offers.where("claim is null").select(F.col("bin").alias("id"), F.col("gap").alias("size"), "used"))
+            dealt = dealt.where(F.col("claim").isNull())
+        left = dealt.where(is_left).select("part", "rank", "id", "size")
+        open_gaps = dealt.where(is_open).select(*gap_columns)
+        if claims:
+            open_gaps = open_gaps.unionByName(filled.select(*gap_columns))
         open_gaps = open_gaps.select(*gap_columns).unionByName(swept.where(F.col("what") == LOW_GAP).select(*gap_columns)).where("size > 0")
         standing = open_gaps.agg(F.max("size").alias("largest"), F.count("*").alias("n")).first()
         largest = standing["largest"] or 0
