@@ -37,6 +37,8 @@ WORDS = CLUSTERS * MEMBERS
 #: Ids from KNOWN on stand for all other words, dealt by hash; WORDS stands for a document's border.
 KNOWN = WORDS - MEMBERS
 BATCH, RATE = 16384, 0.08
+#: Rows of a step that are worked on at a time, in arrays that are used again.
+AT_ONCE = 16384
 _BLOCK, _COUNT_BUCKET = 3 << 20, 32 << 20
 _SLICES, _FAN = 32, 64
 
@@ -73,10 +75,28 @@ class Weights:
         return np.concatenate([x.ravel() for x in self.all()])
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Space:
+    """Arrays that a worker uses again in every step; fresh ones of this size would cost page faults."""
+
+    def __init__(self):
+        self.held: dict[tuple, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        size = int(np.prod(shape))
+        own = self.held.get((name, kind))
+        if own is None or len(own) < size:
+            own = self.held[(name, kind)] = np.empty(size, kind)
+        return own[:size].reshape(shape)
+
+
+_SPACE = _Space()
+
+
+def _softmax(x: np.ndarray, e: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of each column and the logarithms' normalizer; reductions run along whole rows."""
     top = x.max(0)
-    e = np.exp(x - top)
+    e = np.subtract(x, top, out=e)
+    np.exp(e, out=e)
     total = e.sum(0)
     e /= total
     return e, top + np.log(total)
@@ -84,25 +104,35 @@ def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def log_probabilities(w: Weights, context: np.ndarray, target: np.ndarray, gradients: list[np.ndarray] | None = None) -> np.ndarray:
     """log P(target | context) of each row; adds the mean gradient of its negative to `gradients`."""
+    out = [np.zeros(0, np.float32)]
+    for a in range(0, len(target), AT_ONCE):
+        out.append(_log_probabilities(w, context[a : a + AT_ONCE], target[a : a + AT_ONCE], gradients, len(target)))
+    return np.concatenate(out)
+
+
+def _log_probabilities(w: Weights, context: np.ndarray, target: np.ndarray, gradients: list[np.ndarray] | None, of: int) -> np.ndarray:
+    """The same for some of the `of` rows of a step."""
     order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
     sides, target = [context[:, k].take(order) for k in range(len(PLACES))], target.take(order)
     cluster, member = target // MEMBERS, target % MEMBERS
     n, rows = len(target), np.arange(len(target))
-    total = w.places[0].take(sides[0], axis=0)
+    space = lambda name, *shape: _SPACE(name, shape, w.hidden.dtype)
+    total, some = space("total", n, HIDDEN), space("some", n, HIDDEN)
+    w.places[0].take(sides[0], axis=0, out=total, mode="clip")
     for k in range(1, len(PLACES)):
-        total += w.places[k].take(sides[k], axis=0)
+        total += w.places[k].take(sides[k], axis=0, out=some, mode="clip")
     total += w.hidden
-    h = np.empty((HIDDEN + 1, n), total.dtype)
+    h = space("h", HIDDEN + 1, n)
     np.tanh(total.T, out=h[:HIDDEN])
     h[HIDDEN] = 1
-    logits = w.cluster.T @ h
-    p, norm = _softmax(logits)
+    logits = np.matmul(w.cluster.T, h, out=space("logits", CLUSTERS, n))
+    p, norm = _softmax(logits, space("p", CLUSTERS, n))
     out = logits[cluster, rows] - norm
     if gradients is not None:
         p[cluster, rows] -= 1
-        p /= n
+        p /= of
         gradients[2] += h @ p.T
-        back = w.cluster @ p
+        back = np.matmul(w.cluster, p, out=space("back", HIDDEN + 1, n))
     edges = np.searchsorted(cluster, np.arange(CLUSTERS + 1))
     for c in np.unique(cluster):
         a, b = edges[c], edges[c + 1]
@@ -112,20 +142,22 @@ def log_probabilities(w: Weights, context: np.ndarray, target: np.ndarray, gradi
         out[a:b] += inner[own, rows[: b - a]] - norm
         if gradients is not None:
             q[own, rows[: b - a]] -= 1
-            q /= n
+            q /= of
             gradients[3][c] += h[:, a:b] @ q.T
             back[:, a:b] += w.member[c] @ q
     if gradients is not None:
         np.multiply(h, h, out=h)
         np.subtract(1, h, out=h)
-        d = np.ascontiguousarray((back[:HIDDEN] * h[:HIDDEN]).T)
+        back *= h
+        d = total
+        np.copyto(d, back[:HIDDEN].T)
         gradients[1] += d.sum(0)
         for k in range(len(PLACES)):
             ids = sides[k].astype(np.uint16)
             by = np.argsort(ids, kind="stable")
             ids = ids.take(by)
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            gradients[0][k][ids[first]] += np.add.reduceat(d.take(by, axis=0), first, axis=0)
+            gradients[0][k][ids[first]] += np.add.reduceat(d.take(by, axis=0, out=some, mode="clip"), first, axis=0)
     scores = np.empty(n, np.float32)
     scores[order] = out
     return scores
@@ -280,8 +312,7 @@ def _class_scores(batches: Iterator[pa.RecordBatch], known: list[int], flat: np.
         hashes, first = word_hashes(*as_bytes(block.column(1)))
         own = word_ids(hashes, words, ids)
         context, target = examples(own, first)
-        scores = [log_probabilities(w, context[a : a + BATCH], target[a : a + BATCH]) for a in range(0, len(target), BATCH)]
-        yield block, hashes, own, first, _by_document(np.concatenate([np.zeros(0), *scores]), first)
+        yield block, hashes, own, first, _by_document(log_probabilities(w, context, target), first)
 
 
 def _by_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:
