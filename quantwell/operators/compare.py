@@ -37,6 +37,19 @@ def compare(current: DataFrame, prior: DataFrame, keys: list[str], *, zero_if_ab
     return both.drop("has_current", "has_prior").withColumn("delta_value", delta).withColumn("change_rate", safe_ratio(F.col("delta_value"), F.col("comparison_value")))
 
 
+def compared(both: DataFrame, keys: list[str], side: str, *, zero_if_absent: bool = True) -> DataFrame:
+    """As compare, from one frame whose `side` is 0 for the current values and 1 for the prior ones."""
+    now, before = F.col(side) == 0, F.col(side) == 1
+    out = both.groupBy(*keys).agg(
+        F.max(F.when(now, F.col("metric_value"))).alias("metric_value"), F.max(F.when(before, F.col("metric_value"))).alias("comparison_value"),
+        F.count_if(now).alias("has_current"), F.count_if(before).alias("has_prior"),
+    )
+    if zero_if_absent:
+        out = out.withColumn("metric_value", F.when(F.col("has_current") == 0, F.lit(0)).otherwise(F.col("metric_value"))).withColumn("comparison_value", F.when(F.col("has_prior") == 0, F.lit(0)).otherwise(F.col("comparison_value")))
+    delta = F.col("metric_value") - F.col("comparison_value")
+    return out.drop("has_current", "has_prior").withColumn("delta_value", delta).withColumn("change_rate", safe_ratio(F.col("delta_value"), F.col("comparison_value")))
+
+
 def with_totals(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """Every row with totals over all rows: one aggregation and a broadcast of its single row, no global window."""
     return df.crossJoin(F.broadcast(df.agg(*(c.alias(n) for n, c in sums.items()))))
@@ -76,17 +89,31 @@ def decompose(compared: DataFrame, overall: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason).withColumn("reconciled", F.col("reason").isNull()).withColumn("net_change_contribution_rate", F.when(F.col("reconciled"), share))
 
 
+#: Stretches of values whose ranks are counted apart.
+STRETCHES = 64
+
+
 def ranked(df: DataFrame, value: str, *, descending: bool = True) -> DataFrame:
-    """rank (nulls last), tie_count, population_count and unknown_count of each row.
+    """rank (nulls last), tie_count, population_count and unknown_count of each row; `value` is numeric or a date.
 
-    Ranks come from counts by distinct value, so the ordered window runs over values and the
-    rows are joined to them; rows of one value never meet in one task for it.
+    Ranks come from counts by distinct value. Bounds (approximate quantiles, which only deal out the
+    work) cut the values into stretches; ranks are counted within each and the counts of the
+    stretches before are added, so no task orders all values. Finding the bounds runs a job.
     """
     levels = df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("tie_count"))
-    order = F.col("__v").desc_nulls_last() if descending else F.col("__v").asc_nulls_last()
-    before = F.sum("tie_count").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    levels = levels.withColumn("rank", (F.coalesce(before, F.lit(0)) + 1).cast("long"))
-    out = df.join(levels, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
+    bounds = df.agg(F.percentile_approx(value, [k / STRETCHES for k in range(1, STRETCHES)], 1000).alias("b")).first()["b"]
+    v, zero = F.col("__v"), F.lit(0)
+    above = sum((F.when(v > F.lit(b), 1).otherwise(0) for b in sorted(set(bounds or ()))), zero)
+    levels = levels.withColumn("__s", F.when(v.isNull(), STRETCHES).otherwise(STRETCHES - above if descending else above))
+    if descending:
+        levels = levels.withColumn("__s", F.when(v.isNull(), STRETCHES + 1).otherwise(F.col("__s")))
+    totals = levels.groupBy("__s").agg(F.sum("tie_count").alias("__n"))  # STRETCHES + 1 rows at most
+    earlier = F.sum("__n").over(W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1))
+    totals = totals.withColumn("__before", F.coalesce(earlier, zero)).drop("__n")
+    within = F.sum("tie_count").over(W.partitionBy("__s").orderBy(v.desc_nulls_last() if descending else v.asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1))
+    levels = levels.withColumn("__w", F.coalesce(within, zero)).join(F.broadcast(totals), "__s")
+    levels = levels.select("__v", "tie_count", (F.col("__before") + F.col("__w") + 1).cast("long").alias("rank"))
+    out = df.join(levels, F.col(value).eqNullSafe(v)).drop("__v")
     return with_totals(out, {"population_count": F.count("*"), "unknown_count": F.count_if(F.col(value).isNull())})
 
 

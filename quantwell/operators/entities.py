@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,14 @@ def normal(token: str) -> str:
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", token).strip()).casefold()
 
 
+def _folded(names: pd.Series) -> pd.Series:
+    return names.map(normal, na_action="ignore")
+
+
 def normal_column(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    """The same of a column: names of ASCII alone stay in the JVM, others are normalized in Arrow batches."""
+    plain = F.trim(F.lower(F.regexp_replace(c, r"[\s\x1C-\x1F]+", " ")))
+    return F.when(c.rlike("[^\\x00-\\x7F]"), F.pandas_udf(_folded, "string")(c)).otherwise(plain)
 
 
 def reference(kind: Column, identity: Column) -> Column:

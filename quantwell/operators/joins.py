@@ -44,6 +44,37 @@ def align(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*merged, *(c for c in left.columns if c not in keys), *(c for c in right.columns if c not in keys))
 
 
+def left_by(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join by null-safe equality of keys: null keys meet null keys; other columns must have different names.
+
+    `right` has a row for each key at most, so rows never multiply; without keys it is one row.
+    """
+    if not keys:
+        return left.join(F.broadcast(right), F.lit(True), "left")  # one row
+    renamed = right.select(*(F.col(k).alias(f"__r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    match = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys))
+    return left.join(renamed, match, "left").drop(*(f"__r_{k}" for k in keys))
+
+
+def semi_by(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `left` whose keys `right` has, null keys included."""
+    renamed = right.select(*(F.col(k).alias(f"__r_{k}") for k in keys))
+    return left.join(renamed, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys)), "left_semi")
+
+
+def exists_or_unknown(df: DataFrame, uncertain: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Flags rows with whole keys that a row of `uncertain` may belong to: each of its keys is null or equal.
+
+    Rows are looked up under each way of forgetting keys, 2 ** keys - 1 of them, in one
+    null-safe equi-join; `uncertain` is reduced to its distinct keys first.
+    """
+    forms = [[F.when(F.lit(bool(mask >> i & 1)), F.col(k)).alias(k) for i, k in enumerate(keys)] for mask in range(2 ** len(keys) - 1)]
+    whole = df.select(*keys).distinct()
+    asked = whole.select(F.struct(*keys).alias("__own"), F.explode(F.array(*(F.struct(*form) for form in forms))).alias("__form")).select("__own", "__form.*")
+    met = semi_by(asked, uncertain.select(*keys).distinct(), keys).select("__own.*").distinct()
+    return left_by(df, met.withColumn(name, F.lit(True)), keys).withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+
+
 def keep_metadata(meta: DataFrame, rows: DataFrame) -> DataFrame:
     """One row of metadata beside each row, or alone if there are none."""
     return meta.join(rows, F.lit(True), "left")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantwell.operators.aggregates import endpoint_average, sealed
 from quantwell.operators.compare import ranked, safe_ratio
-from quantwell.operators.joins import align, membership, unique_parents
+from quantwell.operators.joins import align, exists_or_unknown, left_by, membership, semi_by, unique_parents
 from quantwell.plans.periods import Period, shift_months
 
 
@@ -28,8 +29,16 @@ def inventory_turnover(snapshots: DataFrame, flows: DataFrame, keys: list[str],
     snapshots: keys, month, amount; flows: keys, month, net; period: whole months. The average of
     the months' balances takes in the month before the period; both ends count half. Months
     without any nonzero snapshot at all aren't accounted. Null if an input is missing, a month is
-    not accounted or has no row, or the net is 0; `turnover_state` tells which comes first.
+    not accounted or has no row, or the net is 0; `turnover_state` tells which comes first. Null
+    keys are a group like any other; without keys there is one row, even if nothing is known.
     """
+    if not keys:
+        one = lambda df: df.withColumn("__all", F.lit(1))
+        return _turnover(one(snapshots), one(flows), ["__all"], period, snapshots.sparkSession.range(1).select(F.lit(1).alias("__all"))).drop("__all")
+    return _turnover(snapshots, flows, keys, period, None)
+
+
+def _turnover(snapshots: DataFrame, flows: DataFrame, keys: list[str], period: Period, entities: DataFrame | None) -> DataFrame:
     months = period.whole_months
     first, last = shift_months(period.start, -1), shift_months(period.end, -1)
     spine = month_spine(snapshots.sparkSession, first, last)
@@ -38,15 +47,16 @@ def inventory_turnover(snapshots: DataFrame, flows: DataFrame, keys: list[str],
     spine = spine.join(F.broadcast(accounted), "month", "left")  # a row for each month
     monthly = within.groupBy(*keys, "month").agg(F.sum("amount").alias("amount"), F.count_if(F.col("amount").isNull()).alias("missing"))
     net = flows.where((F.col("month") >= F.lit(period.start)) & (F.col("month") < F.lit(period.end))).groupBy(*keys).agg(F.sum("net").alias("net"), F.count_if(F.col("net").isNull()).alias("net_missing"))
-    entities = monthly.select(*keys).unionByName(net.select(*keys)).distinct()
-    matrix = entities.crossJoin(F.broadcast(spine)).join(monthly, [*keys, "month"], "left")  # the spine has months + 1 rows
+    if entities is None:
+        entities = monthly.select(*keys).unionByName(net.select(*keys)).distinct()
+    matrix = left_by(entities.crossJoin(F.broadcast(spine)), monthly, [*keys, "month"])  # the spine has months + 1 rows
     stock = matrix.groupBy(*keys).agg(
         endpoint_average(F.col("month"), _number(F.col("amount")), first, last, months).alias("average"),
         F.count_if(F.col("accounted").isNull()).alias("unready_months"),
         F.count_if(F.col("missing").isNull() & F.col("accounted").isNotNull()).alias("absent_months"),
         _number(F.sum("missing")).alias("missing"),
     )
-    out = stock.join(net, keys, "left")
+    out = left_by(stock, net, keys)
     state = (
         F.when(F.col("unready_months") > 0, "accounting_not_ready").when(F.col("absent_months") > 0, "missing_snapshot").when(F.col("missing") > 0, "missing_value")
         .when(F.col("net").isNull() | (F.col("net_missing") > 0), "missing_net").when(F.col("net") == 0, "zero_net").otherwise("available")
@@ -88,14 +98,18 @@ def days_sales_outstanding(debt: DataFrame, delivery: DataFrame, keys: list[str]
     """Average debt times days over delivery, for whole months. debt and delivery: keys, month, amount.
 
     The debt needs a snapshot in each month and in the one before the period; groups without debt
-    don't appear.
+    don't appear. Null keys are a group like any other; without keys there is one row.
     """
+    if not keys:
+        one = lambda df: df.withColumn("__all", F.lit(1))
+        found = days_sales_outstanding(one(debt), one(delivery), ["__all"], period)
+        return left_by(debt.sparkSession.range(1).select(F.lit(1).alias("__all")), found, ["__all"]).drop("__all")
     months = period.whole_months
     first, last = shift_months(period.start, -1), shift_months(period.end, -1)
     owed = debt.where(F.col("month").between(F.lit(first), F.lit(last))).groupBy(*keys, "month").agg(F.sum("amount").alias("amount"), F.count_if(F.col("amount").isNull()).alias("missing"))
     owed = owed.groupBy(*keys).agg(endpoint_average(F.col("month"), F.col("amount"), first, last, months).alias("average"), F.count("*").alias("n"), F.sum("missing").alias("missing"))
     sold = delivery.where((F.col("month") >= F.lit(period.start)) & (F.col("month") < F.lit(period.end))).groupBy(*keys).agg(F.sum("amount").alias("sold"), F.count_if(F.col("amount").isNull()).alias("sold_missing"))
-    out = owed.join(sold, keys, "left")
+    out = left_by(owed, sold, keys)
     ready = (F.col("n") == months + 1) & (F.col("missing") == 0)
     average = F.when(ready, F.round("average", 4))
     dso = F.when(ready & (F.col("sold") > 0) & (F.col("sold_missing") == 0), F.round(F.col("average") * period.days / F.col("sold").cast("double"), 4))
@@ -144,26 +158,54 @@ def registered_pool(pool: DataFrame, keys: list[str], discount: Column) -> DataF
     )
 
 
-def pool_comparison(base: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+def pool_comparison(base: DataFrame, current: DataFrame, keys: list[str], row: str, allowed: dict[str, tuple] | None = None) -> DataFrame:
     """Quantities (4 decimals) of two pools by key, and how each group moved.
 
-    Rows with a null in a key can't be followed: their groups are Unassessable, as is any group
-    that such a row could belong to on the other side.
+    A row with a null in a key, or with a value outside `allowed` of that key, can't be
+    followed: it stays apart under its own `uncertainty_key` (side and `row`) and is
+    Unassessable, and so is every group that it could belong to, on either side. Else a group is
+    New or Exited if one side has no rows, Unassessable if a quantity is missing, and Reduced,
+    Increased or No Change by its quantities. A column `membership` (1, 0, -1) may stand in the
+    pools: 0 leaves, -1 makes its group Unassessable and doesn't add to quantities.
     """
-    side = lambda df, name: df.groupBy(*keys).agg(F.round(F.sum("quantity"), 4).alias(name), F.count_if(F.col("quantity").isNull()).alias(f"{name}_missing"))
-    both = align(side(base, "base_quantity"), side(current, "current_quantity"), keys)
-    a, b = F.col("base_quantity"), F.col("current_quantity")
-    lost = F.col(keys[0]).isNull()
-    for k in keys[1:]:
-        lost = lost | F.col(k).isNull()
-    bad = lost | (_number(F.col("base_quantity_missing")) > 0) | (_number(F.col("current_quantity_missing")) > 0)
-    state = F.when(bad, "Unassessable").when(a.isNull(), "New").when(b.isNull(), "Exited").when(b < a, "Reduced").when(b > a, "Increased").otherwise("No Change")
-    return both.select(*keys, "base_quantity", "current_quantity", F.when(~bad, _number(b) - _number(a)).alias("delta_quantity"), state.alias("movement_state"))
+    allowed = allowed or {}
+    known = {k: F.col(k).isin(list(allowed[k])) & F.col(k).isNotNull() if k in allowed else F.col(k).isNotNull() for k in keys}
+    valid = F.coalesce(reduce(lambda a, b: a & b, known.values()), F.lit(False))
+
+    def side(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        df = df if "membership" in df.columns else df.withColumn("membership", F.lit(1))
+        df = df.where("membership <> 0").withColumn("uncertainty_key", F.when(valid, "").otherwise(F.concat(F.lit(f"{name}:"), F.col(row).cast("string"))))
+        member = F.col("membership") == 1
+        sums = df.groupBy(*keys, "uncertainty_key").agg(
+            F.count_if(member).alias(f"{name}_rows"), F.round(F.sum(F.when(member, F.col("quantity"))), 4).alias(f"{name}_known_quantity"),
+            F.count_if(F.col("quantity").isNull()).alias(f"{name}_missing_rows"), F.count_if(~member).alias(f"{name}_uncertain_rows"),
+        )
+        lost = df.where("uncertainty_key <> ''").select(*(F.when(known[k], F.col(k)).alias(k) for k in keys))
+        return sums, lost
+
+    (a, lost_a), (b, lost_b) = side(base, "base"), side(current, "current")
+    both = align(a, b, [*keys, "uncertainty_key"])
+    for c in ("base_rows", "current_rows", "base_missing_rows", "current_missing_rows", "base_uncertain_rows", "current_uncertain_rows"):
+        both = both.withColumn(c, _number(F.col(c)))
+    both = exists_or_unknown(both, lost_a.unionByName(lost_b), keys, "identity_uncertain")
+    uncertain = F.col("identity_uncertain") | (F.col("uncertainty_key") != "")
+    delta = F.round(F.col("current_known_quantity") - F.col("base_known_quantity"), 4)
+    state = (
+        F.when(uncertain | (F.col("base_uncertain_rows") + F.col("current_uncertain_rows") > 0), "Unassessable")
+        .when((F.col("base_rows") == 0) & (F.col("current_rows") > 0), "New").when((F.col("base_rows") > 0) & (F.col("current_rows") == 0), "Exited")
+        .when(F.col("base_missing_rows") + F.col("current_missing_rows") > 0, "Unassessable").when(delta < 0, "Reduced").when(delta > 0, "Increased").otherwise("No Change")
+    )
+    whole = lambda s: F.when(~uncertain & (F.col(f"{s}_missing_rows") == 0) & (F.col(f"{s}_uncertain_rows") == 0), F.col(f"{s}_known_quantity")).alias(f"{s}_quantity")
+    out = both.withColumn("movement_state", state)
+    return out.select(
+        *keys, "uncertainty_key", "base_rows", "current_rows", whole("base"), whole("current"), "base_known_quantity", "current_known_quantity", "base_missing_rows", "current_missing_rows",
+        F.when(F.col("movement_state").isin("Reduced", "No Change", "Increased"), delta).alias("delta_quantity"), uncertain.alias("identity_uncertain"), "movement_state",
+    )
 
 
 def movement_summary(compared: DataFrame, by: list[str]) -> DataFrame:
-    """Groups and quantity changes by `by` and state."""
-    return compared.groupBy(*by, "movement_state").agg(F.count("*").alias("groups"), F.sum("base_quantity").alias("base_quantity"), F.sum("current_quantity").alias("current_quantity"), F.sum("delta_quantity").alias("delta_quantity"))
+    """Groups, known quantities and changes of quantity by `by` and state."""
+    return compared.groupBy(*by, "movement_state").agg(F.count("*").alias("groups"), F.sum("base_known_quantity").alias("base_quantity"), F.sum("current_known_quantity").alias("current_quantity"), F.sum("delta_quantity").alias("delta_quantity"))
 
 
 def net_outbound(cohort: DataFrame, out: DataFrame, back: DataFrame, keys: list[str], start: date, end: date, factor: float = 0.75) -> DataFrame:
@@ -173,14 +215,14 @@ def net_outbound(cohort: DataFrame, out: DataFrame, back: DataFrame, keys: list[
     what went out above factor times the list price. Groups without flows stay with zeros; flows
     outside the cohort never enter.
     """
-    members = cohort.select(*keys).distinct()
+    members = cohort.select(*keys).distinct()  # null keys are a group like any other
     inside = (F.col("at") >= F.lit(start)) & (F.col("at") < F.lit(end))
-    gross = out.where(inside).join(members, keys, "left_semi").groupBy(*keys).agg(
+    gross = semi_by(out.where(inside), members, keys).groupBy(*keys).agg(
         F.sum("quantity").alias("gross"), F.count_if(F.col("quantity").isNull()).alias("gross_missing"),
         F.sum(F.when(F.col("price") > F.lit(factor).cast("decimal(4,2)") * F.col("list_price"), F.col("quantity"))).alias("high"),
     )
-    returned = back.where(inside).join(members, keys, "left_semi").groupBy(*keys).agg(F.sum("quantity").alias("returned"), F.count_if(F.col("quantity").isNull()).alias("returned_missing"))
-    both = members.join(gross, keys, "left").join(returned, keys, "left")
+    returned = semi_by(back.where(inside), members, keys).groupBy(*keys).agg(F.sum("quantity").alias("returned"), F.count_if(F.col("quantity").isNull()).alias("returned_missing"))
+    both = left_by(left_by(members, gross, keys), returned, keys)
     missing = (_number(F.col("gross_missing")) + _number(F.col("returned_missing"))).alias("missing_value_count")
     both = both.select(*keys, _number(F.col("gross")).alias("gross_quantity"), _number(F.col("returned")).alias("return_quantity"), _number(F.col("high")).alias("high_price_quantity"), missing)
     return both.withColumn("net_quantity", F.when(F.col("missing_value_count") == 0, F.col("gross_quantity") - F.col("return_quantity")))
@@ -209,7 +251,7 @@ def customer_history(orders: DataFrame, returns: DataFrame, keys: list[str], rea
     inside = (F.col("at") >= F.lit(start)) & (F.col("at") < F.lit(read))
     out = orders.where(inside).groupBy(*keys).agg(F.count_distinct("order").alias("order_count"), F.min("at").cast("date").alias("first_day"), F.max("at").cast("date").alias("last_day"), F.sum("quantity").alias("quantity"))
     back = returns.where(inside).groupBy(*keys).agg(F.sum("quantity").alias("return_quantity"))
-    return out.join(back, keys, "left").withColumn("return_quantity", _number(F.col("return_quantity")))
+    return left_by(out, back, keys).withColumn("return_quantity", _number(F.col("return_quantity")))
 
 
 def pattern_summary(tasks: DataFrame, keys: list[str], conditions: dict[str, Column], key: str = "task") -> DataFrame:
@@ -249,7 +291,3 @@ def allocated(ledgers: list[tuple[int, DataFrame]], keys: list[str], amount: str
         one = df.groupBy(*keys).agg((F.lit(sign) * _number(F.sum(amount))).cast("decimal(38,4)").alias("metric_value"), F.count_if(F.col(amount).isNull()).alias("missing_value_count"), F.count("*").alias("row_count"))
         out = one if out is None else out.unionByName(one)
     return sealed(out.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("metric_value", "missing_value_count", "row_count"))))
-
-
-def day_after(day: date) -> date:
-    return day + timedelta(1)

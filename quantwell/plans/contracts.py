@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quantwell.plans.errors import QueryError
 
+# The names of operators, aggregations and policies are those of the contract documents.
+
 #: Operators of fixed filters.
 FILTER_OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "in")
 #: Base aggregations.
@@ -90,6 +92,35 @@ class Dimension:
     meter: bool = False
 
 
+def refines(inherited: Filter, own: Filter) -> bool:
+    """Whether a metric's filter only narrows the dataset's on the same column: equal to it, or within its list."""
+    if own == inherited:
+        return True
+    if inherited.operator != "in":
+        return False
+    return own.value in inherited.value if own.operator == "eq" else own.operator == "in" and bool(own.value) and set(own.value) <= set(inherited.value)
+
+
+@dataclass(frozen=True)
+class MetricJoin:
+    """A join that a metric needs: rows of `target` that pass `required` (these narrow the result).
+
+    required_not_null: columns of the target that a fact must find. required_missing: facts that find
+    a row leave instead. The target's columns are measures under their own names.
+    """
+
+    target: str
+    columns: tuple[str, ...]
+    target_columns: tuple[str, ...]
+    required: tuple[Filter, ...] = ()
+    required_not_null: tuple[str, ...] = ()
+    required_missing: bool = False
+
+    def __post_init__(self):
+        if self.required_missing and (self.required or self.required_not_null):
+            raise QueryError("INVALID_PLAN", "a join is for present or for missing rows, not for both")
+
+
 @dataclass(frozen=True)
 class Metric:
     """A base metric (aggregation of a dataset), a composite of signed metrics or a ratio of two."""
@@ -109,6 +140,25 @@ class Metric:
     scope: str | None = None  #: dimension by which values must be split or fixed, as a currency or a unit
     available: bool = True
     dimensions: tuple[str, ...] = ()
+    required_measure: str | None = None  #: column that a month must know somewhere to be the latest non-null snapshot
+    scopes: Mapping[str, tuple[Filter, ...]] = field(default_factory=dict)  #: named parts of a stock, by the filters that fix them
+    default_scope: str = "total"
+    attribution_modes: tuple[str, ...] = ()  #: ledgers by which a request may attribute values; none: it must not say
+    joins: tuple[MetricJoin, ...] = ()
+
+    def scoped(self, scope: str | None) -> tuple[Filter, ...]:
+        """The metric's filters with those of a scope; a scope must not contradict them."""
+        if not self.scopes:
+            if scope is not None:
+                raise QueryError("INVALID_PLAN", f"{self.name} has no scopes", "inventory_scope")
+            return self.filters
+        if (scope or self.default_scope) not in self.scopes:
+            raise QueryError("INVALID_PLAN", f"{self.name} has no such scope", "inventory_scope")
+        more = self.scopes[scope or self.default_scope]
+        fixed = {f.column: f for f in self.filters}
+        if any(f.column in fixed and fixed[f.column] != f for f in more):
+            raise QueryError("CONTRACT_UNAVAILABLE", f"a scope of {self.name} contradicts its filters")
+        return (*self.filters, *(f for f in more if f.column not in fixed))
 
 
 @dataclass(frozen=True)
@@ -149,6 +199,14 @@ class Contracts:
                 return j
         raise QueryError("INVALID_PLAN", f"{source} does not join {target}")
 
+    def refined(self, metric: Metric, filters: tuple[Filter, ...]) -> tuple[Filter, ...]:
+        """The filters, none of which may widen or contradict what its dataset requires of the column."""
+        for own in filters:
+            for inherited in self.datasets[metric.dataset].required:
+                if inherited.column == own.column and not refines(inherited, own):
+                    raise QueryError("INVALID_PLAN", f"{metric.name} must only narrow the filter on {own.column}")
+        return filters
+
     def digest(self) -> str:
         """A digest of what the contracts say, for pinning."""
         return hashlib.sha256(json.dumps({k: {n: asdict(x) for n, x in sorted(getattr(self, k).items())} for k in ("datasets", "dimensions", "metrics")}, sort_keys=True, default=str).encode()).hexdigest()

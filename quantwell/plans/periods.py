@@ -92,13 +92,17 @@ def of_month(label: str) -> Period:
     return Period(first, shift_months(first, 1))
 
 
+#: Policies by which the data tells the month: the planner looks it up.
+LATEST = ("latest_snapshot", "latest_non_null_snapshot")
+
+
 def default_period(policy: str, observed: date) -> Period | None:
-    """The period of a policy; None for current snapshots, which have no time filter."""
+    """The period of a policy; None for current snapshots, which have no time filter, and where the data tells the month."""
     this = month_start(observed)
     if policy == "current_month":
         return Period(this, shift_months(this, 1))
     if policy in ("last_3_completed_months", "last_12_completed_months"):
         return Period(shift_months(this, -int(policy.split("_")[1])), this)
-    if policy == "current_snapshot":
+    if policy == "current_snapshot" or policy in LATEST:
         return None
     raise QueryError("INVALID_INPUT", "this metric needs a period", "time_range")

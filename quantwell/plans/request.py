@@ -8,7 +8,7 @@ from datetime import date
 
 from quantwell.plans.contracts import Contracts, Metric
 from quantwell.plans.errors import QueryError
-from quantwell.plans.periods import Period, default_period
+from quantwell.plans.periods import LATEST, Period, default_period
 
 #: Limits of a request and of an envelope.
 MAX_DIMENSIONS, MAX_FILTERS, MAX_VALUES, MAX_ROWS, MAX_REQUESTS, MAX_CALCULATIONS, MAX_RUNS = 5, 12, 50, 100, 10, 10, 10
@@ -29,6 +29,9 @@ class Request:
     descending: bool = True
     limit: int = MAX_ROWS
     decompose: str | None = None
+    months_before: int = 1  #: of the comparison snapshot_months_before
+    scope: str | None = None
+    attribution: str | None = None
 
 
 @dataclass(frozen=True)
@@ -55,6 +58,16 @@ def check(request: Request, contracts: Contracts, observed: date) -> Checked:
         raise QueryError("INVALID_INPUT", "buckets are days or months", "time_bucket")
     if request.comparison is not None and request.comparison not in COMPARISONS:
         raise QueryError("INVALID_INPUT", "no such comparison", "comparison")
+    if request.comparison == "snapshot_months_before":
+        if metric.default_period not in LATEST or request.period is not None or request.bucket is not None:
+            raise QueryError("INVALID_INPUT", "only the latest snapshot is compared with one of months before", "comparison")
+        if not 1 <= request.months_before <= 24:
+            raise QueryError("INVALID_INPUT", "1 to 24 months before", "comparison")
+    base = [contracts.metric(m) for m in contracts.parts(metric)] or [metric]
+    for part in base:
+        part.scoped(request.scope)
+        if part.attribution_modes and request.attribution not in part.attribution_modes or not part.attribution_modes and request.attribution is not None:
+            raise QueryError("ATTRIBUTION_MODE_MISMATCH", f"{part.name} is not kept by the ledger {request.attribution}", "attribution_mode")
     for d in request.dimensions:
         contracts.dimension(d, metric)
     if request.order_by is not None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +19,7 @@ from quantwell.operators import entities as R
 from quantwell.operators import joins as J
 from quantwell.operators import kinds as K
 from quantwell.operators import prices as P
-from quantwell.plans.periods import Period, default_period, iso_label
+from quantwell.plans.periods import Period, default_period
 from quantwell.plans.planner import Planner, decomposition
 from quantwell.plans.request import Request
 from quantwell.sources.tables import Tables, limited, paged
@@ -345,9 +345,9 @@ def _(t):
     return K.allocated([(1, a), (-1, b)], ["k"])
 
 
-@query("a18_single_label", "SELECT o_custkey % 50 AS k, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN max(o_orderstatus) END AS label FROM orders WHERE o_orderkey % 40 = 3 GROUP BY 1")
+@query("a18_single_label", "SELECT o_custkey AS k, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN max(o_orderstatus) END AS label FROM orders GROUP BY 1")
 def _(t):
-    return orders(t, "o_custkey", "o_orderkey", "o_orderstatus").where("o_orderkey % 40 = 3").groupBy((F.col("o_custkey") % 50).alias("k")).agg(A.single_label("o_orderstatus").alias("label"))
+    return orders(t, "o_custkey", "o_orderstatus").groupBy(F.col("o_custkey").alias("k")).agg(A.single_label("o_orderstatus").alias("label"))
 
 
 @query("a20_ordered_list", "SELECT o_orderpriority AS k, string_agg(m, ',' ORDER BY m) AS months FROM (SELECT DISTINCT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS m FROM orders WHERE o_totalprice > 100000) GROUP BY 1")
@@ -413,12 +413,20 @@ def _(t):
 _MONTHLY = f"(SELECT o_orderpriority AS k, date_trunc('month', o_orderdate)::DATE AS month, total AS amount FROM {O})"
 
 
+_STOCK = Period(date(2000, 2, 1), SPRING.end)
+
+
+def _during(column: str, period: Period) -> Column:
+    """A condition on the stored date, so that the scan gets it."""
+    return (F.col(column) >= F.lit(period.start)) & (F.col(column) < F.lit(period.end))
+
+
 def _priority_months(t: Tables) -> DataFrame:
-    return orders(t, "o_orderpriority", "o_orderdate", "total").select(F.col("o_orderpriority").alias("k"), F.trunc("o_orderdate", "month").alias("month"), F.col("total").alias("amount"))
+    return orders(t, "o_orderpriority", "o_orderdate", "total").where(_during("o_orderdate", _STOCK)).select(F.col("o_orderpriority").alias("k"), F.trunc("o_orderdate", "month").alias("month"), F.col("total").alias("amount"))
 
 
 def _priority_flows(t: Tables) -> DataFrame:
-    df = delivery(t, "l_orderkey", "l_shipdate", "amount").join(orders(t, "o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    df = delivery(t, "l_orderkey", "l_shipdate", "amount").where(_during("l_shipdate", SPRING)).join(orders(t, "o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     return df.select(F.col("o_orderpriority").alias("k"), F.trunc("l_shipdate", "month").alias("month"), "amount")
 
 
@@ -483,32 +491,37 @@ def _(t):
     return K.registered_pool(_pool(t), ["unit"], F.col("label") == "slow")
 
 
-_WEEK = "(SELECT event_type AS kind, CASE WHEN user_id % 13 = 0 THEN NULL ELSE user_id % 50 END AS member, CAST(value AS DECIMAL(18,4)) AS quantity, strftime(ts, '%G-W%V') AS week FROM events)"
-
-
-def _weeks(t: Tables) -> DataFrame:
-    return t.raw("events").select(F.col("event_type").alias("kind"), F.when(F.col("user_id") % 13 != 0, F.col("user_id") % 50).alias("member"), F.col("value").cast("decimal(18,4)").alias("quantity"), iso_week(F.col("ts")).alias("week"))
-
-
-_MOVED = f"""a AS (SELECT kind, member, round(sum(quantity), 4) AS a FROM {_WEEK} WHERE week = '2024-W01' AND member % 5 < 4 IS NOT FALSE GROUP BY 1, 2), b AS (SELECT kind, member, round(sum(quantity), 4) AS b FROM {_WEEK} WHERE week = '2024-W02' AND member % 7 > 0 IS NOT FALSE GROUP BY 1, 2),
- m AS (SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.member, b.member) AS member, a, b FROM a FULL JOIN b ON a.kind IS NOT DISTINCT FROM b.kind AND a.member IS NOT DISTINCT FROM b.member),
- s AS (SELECT *, CASE WHEN member IS NULL THEN 'Unassessable' WHEN a IS NULL THEN 'New' WHEN b IS NULL THEN 'Exited' WHEN b < a THEN 'Reduced' WHEN b > a THEN 'Increased' ELSE 'No Change' END AS movement_state, CASE WHEN member IS NOT NULL THEN coalesce(b, 0) - coalesce(a, 0) END AS d FROM m)"""
+_ROWS = """(SELECT event_id, CASE WHEN event_id % 1009 = 5 THEN NULL ELSE event_type END AS kind, CASE WHEN event_type = 'error' AND event_id % 499 = 7 THEN NULL ELSE user_id % 50 END AS member,
+ CASE WHEN event_id % 211 = 0 THEN NULL ELSE CAST(value AS DECIMAL(18,4)) END AS quantity, strftime(ts, '%G-W%V') AS week FROM events)"""
+_UNKNOWN = "CASE WHEN kind IS NULL OR member IS NULL THEN '{}:' || event_id ELSE '' END"
+_MOVED = f"""a0 AS (SELECT *, {_UNKNOWN.format("base")} AS uk FROM {_ROWS} WHERE week = '2024-W01' AND (member % 5 < 4) IS NOT FALSE), b0 AS (SELECT *, {_UNKNOWN.format("current")} AS uk FROM {_ROWS} WHERE week = '2024-W02' AND (member % 7 > 0) IS NOT FALSE),
+ a AS (SELECT kind, member, uk, count(*) AS n, round(sum(quantity), 4) AS q, count(*) FILTER (quantity IS NULL) AS lost FROM a0 GROUP BY 1, 2, 3), b AS (SELECT kind, member, uk, count(*) AS n, round(sum(quantity), 4) AS q, count(*) FILTER (quantity IS NULL) AS lost FROM b0 GROUP BY 1, 2, 3),
+ u AS (SELECT kind, member FROM a0 WHERE uk <> '' UNION SELECT kind, member FROM b0 WHERE uk <> ''),
+ m AS (SELECT coalesce(a.uk, b.uk) AS uk, CASE WHEN a.uk IS NULL THEN b.kind ELSE a.kind END AS kind, CASE WHEN a.uk IS NULL THEN b.member ELSE a.member END AS member, coalesce(a.n, 0) AS an, coalesce(b.n, 0) AS bn, a.q AS a, b.q AS b, coalesce(a.lost, 0) AS al, coalesce(b.lost, 0) AS bl FROM a FULL JOIN b ON a.kind IS NOT DISTINCT FROM b.kind AND a.member IS NOT DISTINCT FROM b.member AND a.uk = b.uk),
+ x AS (SELECT *, uk <> '' OR EXISTS (SELECT 1 FROM u WHERE (u.kind IS NULL OR u.kind = m.kind) AND (u.member IS NULL OR u.member = m.member)) AS lost FROM m),
+ s AS (SELECT *, CASE WHEN lost THEN 'Unassessable' WHEN an = 0 AND bn > 0 THEN 'New' WHEN an > 0 AND bn = 0 THEN 'Exited' WHEN al + bl > 0 THEN 'Unassessable' WHEN b < a THEN 'Reduced' WHEN b > a THEN 'Increased' ELSE 'No Change' END AS movement_state FROM x)"""
+_DELTA = "CASE WHEN movement_state IN ('Reduced', 'No Change', 'Increased') THEN b - a END"
 
 
 def _moved(t: Tables) -> DataFrame:
-    df = _weeks(t)
+    e, kind = F.col("event_id"), F.col("event_type")
+    df = t.raw("events").select(
+        "event_id", F.when(e % 1009 != 5, kind).alias("kind"), F.when(~((kind == "error") & (e % 499 == 7)), F.col("user_id") % 50).alias("member"),
+        F.when(e % 211 != 0, F.col("value").cast("decimal(18,4)")).alias("quantity"), iso_week(F.col("ts")).alias("week"),
+    )
     keep = lambda c: F.coalesce(c, F.lit(True))
     a = df.where((F.col("week") == "2024-W01") & keep(F.col("member") % 5 < 4))
     b = df.where((F.col("week") == "2024-W02") & keep(F.col("member") % 7 > 0))
-    return K.pool_comparison(a, b, ["kind", "member"])
+    return K.pool_comparison(a, b, ["kind", "member"], "event_id")
 
 
-@query("k8_pool_comparison", f"WITH {_MOVED} SELECT kind, member, CAST(a AS DOUBLE) AS base_quantity, CAST(b AS DOUBLE) AS current_quantity, CAST(d AS DOUBLE) AS delta_quantity, movement_state FROM s")
+@query("k8_pool_comparison", f"""WITH {_MOVED} SELECT kind, member, uk AS uncertainty_key, an AS base_rows, bn AS current_rows, CAST(CASE WHEN NOT lost AND al = 0 THEN a END AS DOUBLE) AS base_quantity, CAST(CASE WHEN NOT lost AND bl = 0 THEN b END AS DOUBLE) AS current_quantity,
+ CAST(a AS DOUBLE) AS base_known_quantity, CAST(b AS DOUBLE) AS current_known_quantity, al AS base_missing_rows, bl AS current_missing_rows, CAST({_DELTA} AS DOUBLE) AS delta_quantity, lost AS identity_uncertain, movement_state FROM s""")
 def _(t):
     return _moved(t)
 
 
-@query("k8_movement_summary", f"WITH {_MOVED} SELECT kind, movement_state, count(*) AS groups, CAST(sum(a) AS DOUBLE) AS base_quantity, CAST(sum(b) AS DOUBLE) AS current_quantity, CAST(sum(d) AS DOUBLE) AS delta_quantity FROM s GROUP BY 1, 2")
+@query("k8_movement_summary", f"WITH {_MOVED} SELECT kind, movement_state, count(*) AS groups, CAST(sum(a) AS DOUBLE) AS base_quantity, CAST(sum(b) AS DOUBLE) AS current_quantity, CAST(sum({_DELTA}) AS DOUBLE) AS delta_quantity FROM s GROUP BY 1, 2")
 def _(t):
     return K.movement_summary(_moved(t), ["kind"])
 
@@ -521,6 +534,93 @@ def _(t):
     return K.net_outbound(cohort, df, df.where("l_returnflag = 'R'"), ["item"], SPRING.start, SPRING.end)
 
 
+_NULLED = "(SELECT CASE WHEN k LIKE '5%' THEN NULL ELSE k END AS k, month, amount FROM {})"
+
+
+def _nulled(df: DataFrame) -> DataFrame:
+    return df.withColumn("k", F.when(~F.col("k").like("5%"), F.col("k")))
+
+
+@query("k1_null_key", f"""WITH s AS (SELECT k, month, sum(amount) AS amount FROM {_NULLED.format(_MONTHLY)} WHERE month BETWEEN DATE '2000-02-01' AND DATE '2000-05-01' GROUP BY 1, 2),
+ a AS (SELECT k, {_AVERAGE} AS average FROM s GROUP BY 1), n AS (SELECT k, sum(amount) AS net FROM {_NULLED.format(_FLOWS)} WHERE month BETWEEN DATE '2000-03-01' AND DATE '2000-05-01' GROUP BY 1)
+ SELECT a.k AS k, 'available' AS turnover_state, round(average, 4) AS average_inventory, CAST(net AS DOUBLE) AS net_delivery, round(average * 92 / CAST(net AS DOUBLE), 4) AS turnover_days FROM a JOIN n ON a.k IS NOT DISTINCT FROM n.k""")
+def _(t):
+    return K.inventory_turnover(_nulled(_priority_months(t)), _nulled(_priority_flows(t)).withColumnRenamed("amount", "net"), ["k"], SPRING)
+
+
+@query("k1_whole", f"""WITH s AS (SELECT month, sum(amount) AS amount FROM {_MONTHLY} WHERE month BETWEEN DATE '2000-02-01' AND DATE '2000-05-01' GROUP BY 1), a AS (SELECT {_AVERAGE} AS average FROM s), n AS (SELECT sum(amount) AS net FROM {_FLOWS} WHERE month BETWEEN DATE '2000-03-01' AND DATE '2000-05-01')
+ SELECT 'available' AS turnover_state, round(average, 4) AS average_inventory, CAST(net AS DOUBLE) AS net_delivery, round(average * 92 / CAST(net AS DOUBLE), 4) AS turnover_days FROM a, n""")
+def _(t):
+    return K.inventory_turnover(_priority_months(t), _priority_flows(t).withColumnRenamed("amount", "net"), [], SPRING)
+
+
+@query("k3_null_key", f"""WITH s AS (SELECT k, month, sum(amount) AS amount FROM {_NULLED.format(_MONTHLY)} WHERE month BETWEEN DATE '2000-02-01' AND DATE '2000-05-01' GROUP BY 1, 2), a AS (SELECT k, {_AVERAGE} AS average, count(*) AS n FROM s GROUP BY 1),
+ n AS (SELECT k, sum(amount) AS sold FROM {_NULLED.format(_FLOWS)} WHERE month BETWEEN DATE '2000-03-01' AND DATE '2000-05-01' GROUP BY 1)
+ SELECT a.k AS k, n AS snapshot_months, round(average, 4) AS average_debt, CAST(sold AS DOUBLE) AS delivery_value, round(average * 92 / CAST(sold AS DOUBLE), 4) AS dso_days FROM a LEFT JOIN n ON a.k IS NOT DISTINCT FROM n.k""")
+def _(t):
+    return K.days_sales_outstanding(_nulled(_priority_months(t)), _nulled(_priority_flows(t)), ["k"], SPRING)
+
+
+@query("k3_whole", f"""WITH s AS (SELECT month, sum(amount) AS amount FROM {_MONTHLY} WHERE month BETWEEN DATE '2000-02-01' AND DATE '2000-05-01' GROUP BY 1), a AS (SELECT {_AVERAGE} AS average, count(*) AS n FROM s), n AS (SELECT sum(amount) AS sold FROM {_FLOWS} WHERE month BETWEEN DATE '2000-03-01' AND DATE '2000-05-01')
+ SELECT a.n AS snapshot_months, round(average, 4) AS average_debt, CAST(sold AS DOUBLE) AS delivery_value, round(average * 92 / CAST(sold AS DOUBLE), 4) AS dso_days FROM a, n""")
+def _(t):
+    return K.days_sales_outstanding(_priority_months(t), _priority_flows(t), [], SPRING)
+
+
+@query("k9_null_key", f"""WITH c AS (SELECT DISTINCT nullif(l_partkey % 40, 7) AS item FROM lineitem WHERE l_shipdate >= DATE '2000-02-01' AND l_shipdate < DATE '2000-02-08'), f AS (SELECT nullif(l_partkey % 40, 7) AS item, sum(quantity) AS g, sum(quantity) FILTER (amount > 0.75 * list_amount) AS h, sum(quantity) FILTER (l_returnflag = 'R') AS r FROM {D} WHERE {IN_SPRING} GROUP BY 1)
+ SELECT c.item AS item, CAST(coalesce(g, 0) AS DOUBLE) AS gross_quantity, CAST(coalesce(r, 0) AS DOUBLE) AS return_quantity, CAST(coalesce(h, 0) AS DOUBLE) AS high_price_quantity, 0::BIGINT AS missing_value_count, CAST(coalesce(g, 0) - coalesce(r, 0) AS DOUBLE) AS net_quantity FROM c LEFT JOIN f ON c.item IS NOT DISTINCT FROM f.item""")
+def _(t):
+    item = F.nullif(F.col("l_partkey") % 40, F.lit(7)).alias("item")
+    df = delivery(t, "l_partkey", "l_shipdate", "quantity", "amount", "list_amount", "l_returnflag").select(item, F.col("l_shipdate").alias("at"), "quantity", F.col("amount").alias("price"), F.col("list_amount").alias("list_price"), "l_returnflag")
+    return K.net_outbound(df.where(_during("at", Period(date(2000, 2, 1), date(2000, 2, 8)))), df, df.where("l_returnflag = 'R'"), ["item"], SPRING.start, SPRING.end)
+
+
+@query("a15_snapshot_months_before", f"""WITH m AS (SELECT max(date_trunc('month', o_orderdate)) AS m FROM orders), v AS (SELECT o_orderstatus AS k, sum(total) FILTER (date_trunc('month', o_orderdate) = m) AS a, sum(total) FILTER (date_trunc('month', o_orderdate) = m - INTERVAL 3 MONTH) AS b FROM {O}, m WHERE date_trunc('month', o_orderdate) IN (m, m - INTERVAL 3 MONTH) GROUP BY 1)
+ SELECT k AS order_status, CAST(coalesce(a, 0) AS DOUBLE) AS metric_value, CAST(coalesce(b, 0) AS DOUBLE) AS comparison_value, CAST(coalesce(a, 0) - coalesce(b, 0) AS DOUBLE) AS delta_value, CASE WHEN b > 0 THEN round(CAST(coalesce(a, 0) - b AS DOUBLE) / CAST(b AS DOUBLE), 6) END AS change_rate FROM v""")
+def _(t):
+    return whole(t, Request("latest_orders", ("order_status",), comparison="snapshot_months_before", months_before=3))
+
+
+@query("f9_latest_non_null_snapshot", f"SELECT o_orderstatus AS order_status, {envelope('sum(known_total)', 'count(*) FILTER (known_total IS NULL)')} FROM (SELECT *, CASE WHEN o_orderdate < DATE '2000-05-01' THEN total END AS known_total FROM {O}) WHERE date_trunc('month', o_orderdate) = (SELECT max(date_trunc('month', o_orderdate)) FROM orders WHERE o_orderdate < DATE '2000-05-01') GROUP BY 1")
+def _(t):
+    return whole(t, Request("latest_known_orders", ("order_status",)))
+
+
+@query("f5_refined_filter", f"SELECT {envelope('sum(amount)')} FROM {D} WHERE l_returnflag IN ('A', 'R') AND l_returnflag = 'R' AND {IN_SPRING}")
+def _(t):
+    return whole(t, Request("returned_settled", period=SPRING))
+
+
+@query("f11_inventory_scope", f"SELECT brand, {envelope('sum(quantity)')} FROM (SELECT p_brand AS brand, quantity FROM {D} LEFT JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O') GROUP BY 1")
+def _(t):
+    return whole(t, Request("stock_quantity", ("brand",), scope="open"))
+
+
+@query("f12_attribution_mode", f"SELECT l_linestatus AS status, {envelope('sum(amount)')} FROM {D} WHERE {IN_SPRING} GROUP BY 1")
+def _(t):
+    return whole(t, Request("ledger_amount", ("status",), period=SPRING, attribution="shared"))
+
+
+@query("j2_metric_join", f"SELECT o_orderstatus AS order_status, {envelope('sum(total)')} FROM {O} JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_nationkey IS NOT NULL GROUP BY 1")
+def _(t):
+    return whole(t, Request("building_orders", ("order_status",)))
+
+
+@query("j2_metric_join_missing", f"SELECT l_linestatus AS status, {envelope('sum(amount)')} FROM {D} WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 25) GROUP BY 1")
+def _(t):
+    return whole(t, Request("small_part_amount", ("status",)))
+
+
+@query("j10_exists_or_unknown", """WITH g AS (SELECT DISTINCT event_type AS kind, user_id % 50 AS member FROM events), u AS (SELECT CASE WHEN event_id % 2 = 0 THEN event_type END AS kind, CASE WHEN event_id % 3 = 0 THEN user_id % 50 END AS member FROM events WHERE event_id % 2 = 1 AND event_id % 600 < 40 OR event_id % 6 = 2 AND event_id % 2500 = 2)
+ SELECT kind, member, EXISTS (SELECT 1 FROM u WHERE (u.kind IS NULL OR u.kind = g.kind) AND (u.member IS NULL OR u.member = g.member) AND (u.kind IS NULL OR u.member IS NULL) AND NOT (u.kind IS NULL AND u.member IS NULL)) AS uncertain FROM g""")
+def _(t):
+    e = t.raw("events").select("event_id", F.col("event_type").alias("kind"), (F.col("user_id") % 50).alias("member"))
+    n = F.col("event_id")
+    some = e.where((n % 2 == 1) & (n % 600 < 40) | (n % 6 == 2) & (n % 2500 == 2)).select(F.when(n % 2 == 0, F.col("kind")).alias("kind"), F.when(n % 3 == 0, F.col("member")).alias("member"))
+    some = some.where("(kind is null) <> (member is null)")
+    return J.exists_or_unknown(e.select("kind", "member").distinct(), some, ["kind", "member"], "uncertain")
+
+
 @query("k10_source_assessment", f"""WITH s AS (SELECT *, CASE WHEN price IS NULL THEN 'no_price' WHEN price = 0 THEN 'zero_price' WHEN label IS NULL THEN 'no_label' WHEN quantity > 40 THEN 'bulk' ELSE 'plain' END AS assessment FROM {_POOL}), g AS (SELECT unit, assessment, count(*) AS n, CAST(sum(quantity) AS DOUBLE) AS quantity, sum(quantity) AS q FROM s GROUP BY 1, 2)
  SELECT unit, assessment, n, quantity, CAST(sum(q) OVER () AS DOUBLE) AS total_quantity, round(quantity / CAST(sum(q) OVER () AS DOUBLE), 6) AS contribution FROM g""")
 def _(t):
@@ -652,11 +752,11 @@ def _(t):
     return t.spark.createDataFrame(rows, "metric string, kind string, default_period string, available boolean")
 
 
-@query("e14_report_reconciliation", f"""WITH {_MOVED}, g AS (SELECT kind, sum(a) AS a, sum(b) AS b, sum(d) AS d, count(*) AS n FROM s GROUP BY 1) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(a) AS DOUBLE) AS base_quantity, CAST(sum(b) AS DOUBLE) AS current_quantity, TRUE AS agrees FROM g""")
+@query("e14_report_reconciliation", f"""WITH {_MOVED}, g AS (SELECT kind, sum(a) AS a, sum(b) AS b, count(*) AS n FROM s GROUP BY 1) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(a) AS DOUBLE) AS base_quantity, CAST(sum(b) AS DOUBLE) AS current_quantity, TRUE AS agrees FROM g""")
 def _(t):
     rows = _moved(t)
     summary = K.movement_summary(rows, ["kind"]).groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("groups", "base_quantity", "current_quantity")))
-    direct = rows.agg(F.count("*").alias("r"), F.sum("base_quantity").alias("x"), F.sum("current_quantity").alias("y"))
+    direct = rows.agg(F.count("*").alias("r"), F.sum("base_known_quantity").alias("x"), F.sum("current_known_quantity").alias("y"))
     total = summary.agg(F.count("*").alias("groups"), F.sum("groups").alias("rows"), F.sum("base_quantity").alias("base_quantity"), F.sum("current_quantity").alias("current_quantity"))
     agrees = (F.col("r") == F.col("rows")) & F.col("x").eqNullSafe(F.col("base_quantity")) & F.col("y").eqNullSafe(F.col("current_quantity"))
     return total.crossJoin(F.broadcast(direct)).withColumn("agrees", agrees).drop("r", "x", "y")  # one row each
@@ -702,5 +802,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = default_period("current_month", OBSERVED)
     return shown(ask(Tables(spark, sf_dir), replace(Request("net_amount", ("region",)), period=month)))
 
-
-WEEK_OF_OBSERVATION = iso_label(OBSERVED)
