@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantwell.operators.compare import latest
+from quantwell.operators.joins import align
 
 
 def observe(pool: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -73,3 +75,28 @@ def contact_plan(tasks: DataFrame, relations: DataFrame) -> tuple[DataFrame, Dat
     plan = tasks.distinct().join(relations, keys)
     reason = F.when(F.col("customer").isNull(), "unknown_customer").when(F.col("blocked"), "blocked_customer").when(F.col("owner").isNull(), "no_owner").otherwise("ready")
     return plan.withColumn("reason", reason), tasks.distinct().join(relations, keys, "left_anti")
+
+
+def continued(reference: DataFrame, current: DataFrame, keys: list[str], price: str, basis: str) -> DataFrame:
+    """How each key's reference price goes on: keys, old_price, new_price, event, continuation.
+
+    A key that is gone is removed only if every current row has a whole key, else its absence isn't
+    proven. Several current rows, an unknown basis or price, or a basis that differs from the
+    recorded one keep the old reference (or leave a new key pending). Otherwise the reference
+    advances: unchanged, changed, new, or recovered where the old price was unknown.
+    """
+    whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    proof = current.agg((F.count_if(~whole) == 0).alias("__whole"))  # one row
+    old = reference.select(*keys, F.col(price).alias("old_price"), F.col(basis).alias("__old_basis"), F.lit(True).alias("__old"))
+    new = current.where(whole).groupBy(*keys).agg(F.count("*").alias("__n"), F.max(price).alias("new_price"), F.max(basis).alias("__basis"))
+    both = align(old, new, keys).crossJoin(F.broadcast(proof))
+    known = F.col("__old").isNotNull()
+    event = (
+        F.when(F.col("__n").isNull(), F.when(F.col("__whole"), "absent").otherwise("absence_not_proven")).when(F.col("__n") > 1, "ambiguous")
+        .when(F.col("__basis").isNull(), "basis_missing").when(F.col("new_price").isNull(), "price_missing").when(~known, "new").when(F.col("old_price").isNull(), "recovered")
+        .when(F.col("__old_basis") != F.col("__basis"), "basis_changed").when(F.col("old_price") != F.col("new_price"), "changed").otherwise("unchanged")
+    )
+    out = both.withColumn("event", event)
+    goes_on = F.col("event").isin("new", "recovered", "changed", "unchanged")
+    state = F.when(F.col("event") == "absent", "remove").when(goes_on, "advance").when(known, "retain").otherwise("pending")
+    return out.select(*keys, "old_price", F.when(F.coalesce(F.col("__n") == 1, F.lit(False)), F.col("new_price")).alias("new_price"), "event", state.alias("continuation"))

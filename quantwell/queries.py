@@ -22,7 +22,7 @@ from quantwell.operators import prices as P
 from quantwell.plans.periods import Period, default_period
 from quantwell.plans.planner import Planner, decomposition
 from quantwell.plans.request import Request
-from quantwell.sources.tables import Tables, limited, paged
+from quantwell.sources.tables import SnapshotGroup, Tables, limited, observed_rows, paged, probed
 
 SPRING = Period(date(2000, 3, 1), date(2000, 6, 1))
 YEAR = Period(date(1999, 6, 1), date(2000, 6, 1))
@@ -621,6 +621,57 @@ def _(t):
     return J.exists_or_unknown(e.select("kind", "member").distinct(), some, ["kind", "member"], "uncertain")
 
 
+@query("s7_budgeted_read", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size FROM part")
+def _(t):
+    return observed_rows(t.scan(contracts().datasets["part"]), 1_000_000)
+
+
+@query("s8_pair_probe", "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT p_partkey, s_suppkey FROM part, supplier WHERE p_partkey % 10 = s_suppkey % 10) GROUP BY 1, 2")
+def _(t):
+    p, s = t.scan(contracts().datasets["part"]), t.scan(contracts().datasets["supplier"])
+    pairs = p.join(s, F.col("p_partkey") % 10 == F.col("s_suppkey") % 10).select(F.col("p_partkey").alias("l_partkey"), F.col("s_suppkey").alias("l_suppkey"))
+    return probed(delivery(t, "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"), pairs, ["l_partkey", "l_suppkey"]).groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("s4_snapshot_group", "SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM lineitem) AS deliveries, (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) FROM orders) AS total")
+def _(t):
+    group = SnapshotGroup(t)
+    group.pin("orders", "lineitem")
+    a = group.run(lambda g: orders(g, "total").agg(F.count("*").alias("orders"), F.sum("total").alias("total")))
+    b = group.run(lambda g: delivery(g, "l_orderkey").agg(F.count("*").alias("deliveries")))
+    return a.crossJoin(F.broadcast(b))  # one row each
+
+
+_REFERENCE = "(SELECT p_partkey AS item, CASE WHEN p_partkey % 19 <> 0 THEN p_size END AS price, p_brand AS basis FROM part WHERE p_partkey % 7 <> 0)"
+_CURRENT = "(SELECT p_partkey AS item, CASE WHEN p_partkey % 23 <> 0 THEN p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END END AS price, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 13 = 0 THEN 'other' ELSE p_brand END AS basis FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, p_size, p_brand FROM part WHERE p_partkey % 17 = 0 {})"
+_CONTINUED = """WITH o AS (SELECT * FROM {}), r AS (SELECT * FROM {}), n AS (SELECT item, count(*) AS n, max(price) AS price, max(basis) AS basis FROM r WHERE item IS NOT NULL GROUP BY 1),
+ m AS (SELECT coalesce(o.item, n.item) AS item, o.item IS NOT NULL AS known, o.price AS a, n.price AS b, o.basis AS x, n.basis AS y, n.n AS n FROM o FULL JOIN n ON o.item = n.item),
+ e AS (SELECT *, CASE WHEN n IS NULL THEN CASE WHEN (SELECT count(*) = 0 FROM r WHERE item IS NULL) THEN 'absent' ELSE 'absence_not_proven' END WHEN n > 1 THEN 'ambiguous' WHEN y IS NULL THEN 'basis_missing' WHEN b IS NULL THEN 'price_missing' WHEN NOT known THEN 'new' WHEN a IS NULL THEN 'recovered' WHEN x <> y THEN 'basis_changed' WHEN a <> b THEN 'changed' ELSE 'unchanged' END AS event FROM m)
+ SELECT item, CAST(a AS BIGINT) AS old_price, CASE WHEN n = 1 THEN CAST(b AS BIGINT) END AS new_price, event, CASE WHEN event = 'absent' THEN 'remove' WHEN event IN ('new', 'recovered', 'changed', 'unchanged') THEN 'advance' WHEN known THEN 'retain' ELSE 'pending' END AS continuation FROM e"""
+
+
+def _continued(t: Tables, *, unkeyed: bool) -> DataFrame:
+    part = t.scan(contracts().datasets["part"])
+    p, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    old = part.where(p % 7 != 0).select(p.alias("item"), F.when(p % 19 != 0, size).alias("price"), F.col("p_brand").alias("basis"))
+    basis = F.when(p % 13 == 0, "other").otherwise(F.col("p_brand"))
+    now = part.where(p % 5 != 0).select(p.alias("item"), F.when(p % 23 != 0, size + F.when(p % 3 == 0, 1).otherwise(0)).alias("price"), F.when(p % 11 != 0, basis).alias("basis"))
+    now = now.unionByName(part.where(p % 17 == 0).select(p.alias("item"), size.alias("price"), F.col("p_brand").alias("basis")))
+    if unkeyed:
+        now = now.unionByName(now.limit(0).sparkSession.range(1).select(F.lit(None).cast("long").alias("item"), F.lit(1).cast("long").alias("price"), F.lit("x").alias("basis")))
+    return P.continued(old, now, ["item"], "price", "basis")
+
+
+@query("p4_continuation", _CONTINUED.format(_REFERENCE, _CURRENT.format("")))
+def _(t):
+    return _continued(t, unkeyed=False)
+
+
+@query("p4_continuation_unkeyed", _CONTINUED.format(_REFERENCE, _CURRENT.format("UNION ALL SELECT NULL, 1, 'x'")))
+def _(t):
+    return _continued(t, unkeyed=True)
+
+
 @query("k10_source_assessment", f"""WITH s AS (SELECT *, CASE WHEN price IS NULL THEN 'no_price' WHEN price = 0 THEN 'zero_price' WHEN label IS NULL THEN 'no_label' WHEN quantity > 40 THEN 'bulk' ELSE 'plain' END AS assessment FROM {_POOL}), g AS (SELECT unit, assessment, count(*) AS n, CAST(sum(quantity) AS DOUBLE) AS quantity, sum(quantity) AS q FROM s GROUP BY 1, 2)
  SELECT unit, assessment, n, quantity, CAST(sum(q) OVER () AS DOUBLE) AS total_quantity, round(quantity / CAST(sum(q) OVER () AS DOUBLE), 6) AS contribution FROM g""")
 def _(t):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,3 +64,93 @@ def freeze_week(rows: DataFrame, path: str, week: str) -> DataFrame:
     if seal(back) != seal(rows):
         raise QueryError("BASELINE_CHANGED", f"week {week} does not read back as it was written")
     return back
+
+
+def observed_rows(df: DataFrame, budget: int) -> DataFrame:
+    """All rows in the order of all their columns, for a source that has `budget` rows at most; else an error.
+
+    The check reads one row beyond the budget; equal rows are interchangeable, so the order is total.
+    """
+    if df.limit(budget + 1).count() > budget:
+        raise QueryError("SOURCE_ROW_BUDGET_EXCEEDED", f"more than {budget} rows: the old input stays")
+    return df.orderBy(*df.columns)
+
+
+def probed(facts: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The facts of the wanted pairs: one semi-join instead of batches of lists."""
+    return facts.join(pairs.select(*keys).distinct(), keys, "left_semi")
+
+
+class SnapshotGroup:
+    """Linked reads of one state: the files of a table are fixed when it is first read.
+
+    All reads share `marker`. After the first error the group is poisoned and reads no more.
+    """
+
+    def __init__(self, tables: Tables):
+        self.tables = Tables(tables.spark, tables.folder, tables.frames)
+        self.marker = uuid.uuid4().hex
+        self.poisoned = False
+
+    def run(self, query: Callable[[Tables], DataFrame]) -> DataFrame:
+        if self.poisoned:
+            raise QueryError("SNAPSHOT_GROUP_POISONED", "an earlier query of this group failed")
+        try:
+            return query(self.tables)
+        except Exception:
+            self.poisoned = True
+            raise
+
+    def pin(self, *names: str) -> None:
+        """Fixes the files of tables; those added to the folder later are not read."""
+        for name in names:
+            df = self.run(lambda t, name=name: t.raw(name))
+            if files := df.inputFiles():
+                self.tables.frames[name] = self.tables.spark.read.schema(df.schema).parquet(*files)
+
+
+class Store:
+    """Named tables of a work folder: each write is a new version, and readers see whole versions only."""
+
+    def __init__(self, spark: SparkSession, folder: str, schemas: Mapping[str, str]):
+        self.spark, self.folder, self.schemas = spark, folder.rstrip("/"), dict(schemas)
+
+    def _path(self, table: str) -> str:
+        if table not in self.schemas:
+            raise QueryError("COLUMN_NOT_ALLOWED", f"no table {table} in this store", table)
+        return f"{self.folder}/{table}"
+
+    def _versions(self, table: str) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(x.getPath().getName()[1:]) for x in fs.listStatus(path) if fs.exists(done(x.getPath(), "_SUCCESS")))
+
+    def rows(self, table: str) -> DataFrame:
+        versions = self._versions(table)
+        if not versions:
+            return self.spark.createDataFrame([], self.schemas[table])
+        return self.spark.read.schema(self.schemas[table]).parquet(f"{self._path(table)}/v{versions[-1]}")
+
+    def write(self, table: str, rows: DataFrame, *, expected: int | None = None) -> int:
+        """Replaces a table; `expected` is the version that the writer has read, and another one is refused."""
+        versions = self._versions(table)
+        last = versions[-1] if versions else 0
+        if expected is not None and expected != last:
+            raise QueryError("REFERENCE_CHANGED", f"{table} is at version {last}, not {expected}")
+        empty = self.spark.createDataFrame([], self.schemas[table])
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in empty.schema)).write.mode("errorifexists").parquet(f"{self._path(table)}/v{last + 1}")
+        return last + 1
+
+    def insert(self, table: str, rows: DataFrame) -> int:
+        return self.write(table, self.rows(table).unionByName(rows))
+
+    def delete(self, table: str, condition: Column) -> int:
+        return self.write(table, self.rows(table).where(~F.coalesce(condition, F.lit(False))))
+
+    def update(self, table: str, condition: Column, values: Mapping[str, Column]) -> int:
+        hit = F.coalesce(condition, F.lit(False))
+        df = self.rows(table)
+        return self.write(table, df.select(*(F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns)))

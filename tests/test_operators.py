@@ -20,7 +20,7 @@ from quantwell.plans.errors import QueryError
 from quantwell.plans.periods import Period
 from quantwell.plans.planner import Planner
 from quantwell.plans.request import Request
-from quantwell.sources.tables import Tables, freeze_week, limited, paged
+from quantwell.sources.tables import SnapshotGroup, Store, Tables, freeze_week, limited, observed_rows, paged
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -129,6 +129,89 @@ def test_ranks_put_unknowns_last(spark):
     assert [(got[k].rank, got[k].tie_count) for k in "abcd"] == [(3, 1), (1, 2), (1, 2), (4, 1)] and got["a"].unknown_count == 1
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_ranks_across_stretches(spark, descending):
+    values = [(k, None if k % 17 == 0 else Decimal(k * 7919 % 311)) for k in range(900)]
+    got = {r.k: (r.rank, r.tie_count) for r in C.ranked(spark.createDataFrame(values, "k int, v decimal(18,4)"), "v", descending=descending).collect()}
+    known = [v for _, v in values if v is not None]
+    better = lambda v: sum(w > v if descending else w < v for w in known)
+    assert got == {k: (better(v) + 1, known.count(v)) if v is not None else (len(known) + 1, len(values) - len(known)) for k, v in values}
+    assert C.ranked(spark.createDataFrame([], "k int, v int"), "v").count() == 0
+
+
+def test_null_keys_and_no_keys_have_turnovers(spark):
+    period = Period(date(2026, 1, 1), date(2026, 3, 1))
+    stock = [(k, m, Decimal(100)) for k in ("a", None) for m in (date(2025, 12, 1), date(2026, 1, 1), date(2026, 2, 1))]
+    s = spark.createDataFrame(stock, "k string, month date, amount decimal(18,4)")
+    f = spark.createDataFrame([(k, m, Decimal(50)) for k in ("a", None) for m in (date(2026, 1, 1), date(2026, 2, 1))], "k string, month date, net decimal(18,4)")
+    got = K.inventory_turnover(s, f, ["k"], period).collect()
+    assert {(r.k, r.turnover_state, r.net_delivery, r.turnover_days) for r in got} == {("a", "available", 100, 59.0), (None, "available", 100, 59.0)}
+    assert [(r.net_delivery, r.turnover_days) for r in K.inventory_turnover(s, f, [], period).collect()] == [(200, 59.0)]
+    nothing = K.inventory_turnover(s.limit(0), f.limit(0), [], period).collect()
+    assert len(nothing) == 1 and nothing[0].turnover_days is None
+    owed, sold = s.withColumnRenamed("amount", "amount"), f.withColumnRenamed("net", "amount")
+    assert {(r.k, r.delivery_value, r.dso_days) for r in K.days_sales_outstanding(owed, sold, ["k"], period).collect()} == {("a", 100, 59.0), (None, 100, 59.0)}
+    assert [r.delivery_value for r in K.days_sales_outstanding(owed, sold, [], period).collect()] == [200]
+    assert K.days_sales_outstanding(owed.limit(0), sold.limit(0), [], period).count() == 1
+
+
+def test_null_keys_flow_and_have_histories(spark):
+    rows = [(None, 1, date(2026, 1, 5), Decimal(5), Decimal(1), Decimal(2)), ("g", 2, date(2026, 1, 5), Decimal(4), Decimal(1), Decimal(2))]
+    out = spark.createDataFrame(rows, "k string, order int, at date, quantity decimal(18,4), price decimal(18,4), list_price decimal(18,4)")
+    got = K.net_outbound(spark.createDataFrame([("g",), (None,), (None,)], "k string"), out, out.where("k is null"), ["k"], date(2026, 1, 1), date(2026, 2, 1)).collect()
+    assert {(r.k, r.net_quantity) for r in got} == {("g", 4), (None, 0)}
+    history = K.customer_history(out, out.where("k is null"), ["k"], date(2026, 2, 1)).collect()
+    assert {(r.k, r.quantity, r.return_quantity) for r in history} == {("g", 4, 0), (None, 5, 5)}
+
+
+def test_pools_with_uncertain_identities(spark):
+    head = "id int, item string, place string, unit string, quantity decimal(18,4), membership int"
+    base = [(1, "x", "d1", "m", 5, 1), (2, "y", "d1", "m", 5, 1), (3, "z", None, "m", 5, 1), (4, "q", "d2", "m", 5, 1), (5, "v", "d1", "m", 4, 1), (6, "w", "d9", "m", 1, 1), (7, "s", "d9", "m", 1, 1)]
+    now = [(1, "x", "d1", "m", 3, 1), (2, "y", "d1", "?", 9, 1), (3, "z", "d7", "m", 5, 1), (4, "n", "d2", "m", None, 1), (5, "v", "d1", "m", None, 1), (6, "w", "d9", "m", 1, -1), (7, "s", "d9", "m", 1, 0)]
+    decimal = lambda rows: spark.createDataFrame([(*r[:4], None if r[4] is None else Decimal(r[4]), r[5]) for r in rows], head)
+    got = {(r.item, r.place, r.uncertainty_key): (r.movement_state, r.delta_quantity) for r in K.pool_comparison(decimal(base), decimal(now), ["item", "place", "unit"], "id", {"unit": ("m", "kg")}).collect()}
+    assert got == {
+        ("x", "d1", ""): ("Reduced", -2), ("y", "d1", ""): ("Unassessable", None), ("y", "d1", "current:2"): ("Unassessable", None), ("z", None, "base:3"): ("Unassessable", None), ("z", "d7", ""): ("Unassessable", None),
+        ("q", "d2", ""): ("Exited", None), ("n", "d2", ""): ("New", None), ("v", "d1", ""): ("Unassessable", None), ("w", "d9", ""): ("Unassessable", None), ("s", "d9", ""): ("Exited", None),
+    }
+
+
+def test_existence_under_unknown_keys(spark):
+    whole = [(a, b) for a in "xyz" for b in (1, 2, 3)]
+    lost = [("x", None), (None, 3)]
+    got = J.exists_or_unknown(spark.createDataFrame(whole, "a string, b int"), spark.createDataFrame(lost, "a string, b int"), ["a", "b"], "hit").collect()
+    assert {(r.a, r.b) for r in got if r.hit} == {(a, b) for a, b in whole if a == "x" or b == 3} and len(got) == 9
+
+
+def test_snapshot_groups_read_one_state(spark, tmp_path):
+    folder = f"file://{tmp_path}/sf"
+    spark.range(3).write.parquet(f"{folder}/t.parquet")
+    group = SnapshotGroup(Tables(spark, folder))
+    group.pin("t")
+    spark.range(5).write.mode("append").parquet(f"{folder}/t.parquet")
+    assert group.run(lambda t: t.raw("t")).count() == 3 and Tables(spark, folder).raw("t").count() == 8
+    with pytest.raises(ZeroDivisionError):
+        group.run(lambda t: 1 // 0)
+    with pytest.raises(QueryError) as e:
+        group.run(lambda t: t.raw("t"))
+    assert e.value.code == "SNAPSHOT_GROUP_POISONED"
+
+
+def test_stores_keep_versions(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", {"log": "k int, v string"})
+    assert store.rows("log").count() == 0
+    store.insert("log", spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string"))
+    store.update("log", F.col("v") == "a", {"v": F.lit("z")})
+    assert store.delete("log", F.col("k") == 2) == 3
+    assert {tuple(r) for r in store.rows("log").collect()} == {(1, "z"), (3, None)}
+    for f in (lambda: store.write("log", store.rows("log"), expected=2), lambda: store.rows("other")):
+        with pytest.raises(QueryError):
+            f()
+    with pytest.raises(QueryError):
+        observed_rows(spark.range(5), 4)
+    assert [r.id for r in observed_rows(spark.range(5), 5).collect()] == [0, 1, 2, 3, 4]
+
+
 def test_price_classes_and_changes(spark):
     schema = "product int, region string, price decimal(18,2), quote_id string, valid_from date, valid_to date"
     on = date(2026, 1, 10)
@@ -199,6 +282,10 @@ def test_entities(spark):
         assert e.value.code == error
     with pytest.raises(QueryError):
         R.candidates("ab", {})
+    names = spark.createDataFrame([(1, "Straße 7"), (2, "ＡＢＣ　Ltd"), (3, "İzmir"), (4, None)], "id int, name string")
+    for token, identity in (("STRASSE 7", "1"), ("Straße 7", "1"), ("abc ltd", "2"), ("ＡＢＣ Ltd", "2"), ("İZMIR", "3")):
+        assert [(r.identity, r.match_rank) for r in R.candidates(token, {"place": (names, "id", "name")}).collect()] == [(identity, 0)]
+        assert R.canonical([token], {}, names, "id", "name") == {token: (identity,)}
 
 
 def test_the_rest_works_without_the_subpackage(tmp_path):

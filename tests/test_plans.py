@@ -64,6 +64,12 @@ def test_default_periods_and_labels():
         ({"dimensions": ("region",), "order_by": "delta_value"}, "INVALID_INPUT"),
         ({"metric": "delivered_quantity"}, "UNIT_SCOPE_REQUIRED"),
         ({"metric": "delivered_quantity", "filters": {"unit": ["a", "b"]}}, "UNIT_SCOPE_REQUIRED"),
+        ({"scope": "open"}, "INVALID_PLAN"),
+        ({"metric": "stock_quantity", "period": None, "scope": "allocated"}, "INVALID_PLAN"),
+        ({"attribution": "shared"}, "ATTRIBUTION_MODE_MISMATCH"),
+        ({"metric": "ledger_amount"}, "ATTRIBUTION_MODE_MISMATCH"),
+        ({"comparison": "snapshot_months_before"}, "INVALID_INPUT"),
+        ({"metric": "latest_orders", "period": None, "comparison": "snapshot_months_before", "months_before": 25}, "INVALID_INPUT"),
     ],
 )
 def test_requests_that_are_refused(change, error):
@@ -118,3 +124,27 @@ def test_evidence():
     assert code(evidence.period_summary, months, ["a"], {"a"}, False) == "NONADDITIVE_PERIOD_FIELD"
     assert evidence.fingerprint({"b": 1, "a": 2}) == evidence.fingerprint({"a": 2, "b": 1})
     assert evidence.report_gate([{"data_state": "rows"}, {"truncated": True}, {"data_state": "incomplete"}, {"error": "X"}]) == ["1: truncated", "2: incomplete", "3: X"]
+
+
+def test_filters_only_narrow():
+    own = contracts()
+    f = C.Filter
+    assert C.refines(f("k", "in", (1, 2)), f("k", "eq", 1)) and C.refines(f("k", "in", (1, 2)), f("k", "in", (2,))) and C.refines(f("k", "gt", 1), f("k", "gt", 1))
+    assert not C.refines(f("k", "in", (1, 2)), f("k", "eq", 3)) and not C.refines(f("k", "in", (1, 2)), f("k", "in", (2, 3))) and not C.refines(f("k", "gt", 1), f("k", "gt", 2))
+    assert code(own.refined, own.metrics["returned_settled"], (f("l_returnflag", "eq", "N"),)) == "INVALID_PLAN"
+    clash = replace(own.metrics["stock_quantity"], filters=(f("l_linestatus", "eq", "F"),))
+    assert code(clash.scoped, "open") == "CONTRACT_UNAVAILABLE" and len(clash.scoped("returned")) == 2
+    assert code(C.MetricJoin, "part", ("a",), ("b",), (f("k", "eq", 1),), (), True) == "INVALID_PLAN"
+
+
+def test_evidence_of_reports():
+    d = Decimal
+    assert evidence.snapshot_month([{"snapshot_month": "2026-01"}, {"snapshot_month": None}, {"snapshot_month": "2026-01-31"}]) == "2026-01"
+    assert evidence.snapshot_month([]) is None and code(evidence.snapshot_month, [{"snapshot_month": "2026-01"}, {"snapshot_month": "2026-02"}]) == "CONTRACT_UNAVAILABLE"
+    states = [evidence.gap_ratio(*x)["value_state"] for x in ((d(1), d(4), "CNY", "CNY"), (d(1), d(4), "CNY", None), (None, d(4), "CNY", "CNY"), (d(1), d(0), "CNY", "CNY"))]
+    assert states == ["available", "unit_unverified", "missing_input", "zero_denominator"] and evidence.gap_ratio(d(1), d(4), "CNY", "CNY")["value"] == d("0.25")
+    assert evidence.coverage_ratio(3, 3, 1) == d("0.75") and evidence.coverage_ratio(0, 0, 0) is None and evidence.coverage_ratio(None, 1) is None
+    rules = [{"kind": "required_always", "text": "a"}, {"kind": "required_when", "text": "b", "when": {"state": ("incomplete",)}}, {"kind": "contract_only", "text": "c"}]
+    assert evidence.disclosures(rules, {"state": "incomplete"}) == ["a", "b"] and evidence.disclosures(rules, {}) == ["a"]
+    assert evidence.reconciled({"x": [d(1), d(2)], "y": [None], "z": [d(1)]}, {"x": d(3), "y": d(1), "z": d(2)}) == ["y", "z"]
+    assert evidence.text_report("T", ["k", "v"], [{"k": "a|b", "v": d("1234.5")}, {"k": None, "v": 1}], ["n"]) == "# T\n\n| k | v |\n|---|---|\n| a\\|b | 1,234.5 |\n| – | 1 |\n\n- n\n"
