@@ -1,18 +1,22 @@
-"""Removes text that an earlier document has: windows of one length, grouped exactly.
+"""Removes text that an earlier document has, by longest-previous-factor arrays over the text that is shared.
 
 Every window of `length` bytes has an anchor, the 16 bytes in it whose hash is smallest, so
 equal windows have equal anchors. Anchors that two documents share are found first, in buckets
 of hashes; of the rest of the text nothing is moved. Windows of shared anchors then go to
-buckets by anchor. A bucket sorts its windows by their `length` bytes, and a window is removed if
-a smaller document is among its equals: its longest previous factor then reaches `length`. There
-is no suffix order beyond `length`, no LCP and no factor length. All windows of a text are judged
-on the input. Blocks of documents travel compressed; a bucket gets every run of windows of a
-block, repeated ones too.
+buckets by anchor. A bucket sorts the suffixes that begin at its windows by their first `length`
+bytes and takes the longest common prefixes of neighbours, up to `length`. For each suffix the
+nearest one before and the nearest one after it in that order that belong to a smaller document
+(previous and next smaller value) give its longest previous factor: the larger of the least
+common prefixes on the way to either. A window whose factor reaches `length` goes; the first
+document keeps its copy. Suffixes are not ordered beyond `length`, nor factors followed beyond
+it, as no longer match changes what goes. All windows are judged on the input. Blocks of
+documents travel compressed; a bucket gets every run of windows of a block, repeated ones too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +63,8 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     """
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
+    if len(data) > 1 << _PLACE_BITS:
+        raise ValueError(f"a block or a single text has more than 2**{_PLACE_BITS} bytes")
     if n < 1:
         return np.zeros(0, np.uint64), none, none, none
     hashes = _grams(data)
@@ -83,10 +89,13 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
 
 
 def _block_ids(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, pa.Table]]:
+    """Blocks with names made of their place and their bytes: a second read that differs gives other names, which is noticed."""
     task = TaskContext.get()
-    base = (task.partitionId() if task else 0) << 24
     for k, block in enumerate(blocks(batches, _BLOCK, text)):
-        yield base + k, block
+        data, offsets = _bytes_of(block, text)
+        seal = hashlib.blake2b(offsets.tobytes(), digest_size=8)
+        seal.update(zlib.crc32(data).to_bytes(4, "little") + f"{task.partitionId() if task else 0}:{k}".encode())
+        yield int.from_bytes(seal.digest(), "little", signed=True), block
 
 
 def _bytes_of(block: pa.Table, text: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +183,9 @@ def _windowed(names: tuple[int, int], length: int, buckets: int):
 
     def run(key: tuple, carried: pa.Table, shared: pa.Table) -> pa.Table:
         rows = []
-        if shared.num_rows and carried.num_rows:
+        if shared.num_rows and not carried.num_rows:
+            raise ValueError("two reads of the documents differ")
+        if shared.num_rows:
             known = np.unique(np.concatenate([_unzip(b, "<u8")[0] for b in shared.column("packed").to_pylist()]))
             block = _opened(carried.column("packed")[0].as_py())
             data, offsets = _bytes_of(block, names[1])
@@ -185,49 +196,72 @@ def _windowed(names: tuple[int, int], length: int, buckets: int):
             hashes, doc, start, count = hashes[use], doc[use], start[use], count[use]
             for k, i in _by_bucket(mix64(hashes).astype(np.uint64).astype(np.int64) % buckets):
                 size = count[i] + length - 1
-                rows.append((k, carried.column("block")[0].as_py(), _zip(data[ragged(start[i], size)], count[i].astype("<u1"), keys[doc[i]], doc[i].astype("<u4"), (start[i] - offsets[doc[i]]).astype("<u4"))))
+                rows.append((k, carried.column("block")[0].as_py(), _zip(data[ragged(start[i], size)], count[i].astype("<u4"), keys[doc[i]], doc[i].astype("<u4"), (start[i] - offsets[doc[i]]).astype("<u4"))))
         return pa.Table.from_batches([_rows(rows, _TO_BUCKET)])
 
     return run
 
 
-def earlier_in_suffix_order(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix of `text` at `starts`, whether an owner smaller than its own has an equal `length` prefix.
+def _common_bytes(x: np.ndarray) -> np.ndarray:
+    """Leading zero bytes of 64-bit numbers that aren't 0."""
+    return sum((x < np.uint64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8))
+
+
+def _previous_smaller(value: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place the least of `common` on the way back to the nearest smaller value, 0 if there is none.
 
-    Suffixes are sorted by their first `length` bytes; within a run of neighbours with a common
-    prefix of that length, a smaller owner before a suffix (its previous smaller value) or after
-    it (its next smaller value) is an earlier match.
+    common[i] is of the places i - 1 and i. All places jump at once: one whose candidate isn't
+    smaller goes on to the candidate's own candidate, as nothing between them is smaller either.
     """
-    out = np.zeros(len(starts), bool)
+    n = len(value)
+    at, least = np.arange(-1, n - 1), common.copy()
+    open_ = np.arange(n)
+    while len(open_):
+        open_ = open_[at[open_] >= 0]
+        open_ = open_[value[at[open_]] >= value[open_]]
+        via = at[open_]
+        least[open_] = np.minimum(least[open_], least[via])
+        at[open_] = at[via]
+    least[at < 0] = 0
+    return least
+
+
+def longest_previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix of `text` at `starts`, up to `length`, its longest common prefix with a suffix of a smaller owner."""
     if len(starts) < 2:
-        return out
+        return np.zeros(len(starts), np.int64)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.ndarray((len(text) + 1,), ">u8", padded, 0, (1,))
     steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])] if length >= 8 else [0]
     keys = [words[starts + s].astype(np.uint64) for s in steps]
     if length < 8:
-        keys = [keys[0] >> np.uint64(8 * (8 - length))]
+        keys = [keys[0] & ~np.uint64((1 << 8 * (8 - length)) - 1)]
     order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for k in keys:
+    common = np.full(len(order), length)
+    common[0] = 0
+    for step, k in zip(steps[::-1], keys[::-1], strict=True):  # the first difference is written last
         ordered = k[order]
-        new[1:] |= ordered[1:] != ordered[:-1]
-    _, rank = np.unique(owner, return_inverse=True)
-    rank = rank[order].astype(np.int64)
-    group = np.cumsum(new) - 1
-    span = np.int64(rank.max() + 1)
-    before = np.minimum.accumulate(rank - group * span) + group * span
-    after = (np.minimum.accumulate((rank + group * span)[::-1]))[::-1] - group * span
-    out[order] = (before < rank) | (after < rank)
+        differ = ordered[1:] ^ ordered[:-1]
+        at = np.flatnonzero(differ)
+        common[at + 1] = step + _common_bytes(differ[at])
+    value = owner[order]
+    before = _previous_smaller(value, common)
+    after = _previous_smaller(value[::-1], np.concatenate([[0], common[:0:-1]]))[::-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
+def earlier_in_suffix_order(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix of `text` at `starts`, whether its longest previous factor reaches `length`."""
+    return longest_previous_factors(text, starts, owner, length) >= length
+
+
 def _judged(length: int):
     """Windows of a bucket to remove, to the blocks they are in: document, first window, windows."""
 
     def run(group: pa.Table) -> pa.Table:
-        blobs = [_unzip(b, "<u1", "<u1", "<i8", "<u4", "<u4") for b in group.column("packed").to_pylist()]
+        blobs = [_unzip(b, "<u1", "<u4", "<i8", "<u4", "<u4") for b in group.column("packed").to_pylist()]
         data, count, key, doc, place = (np.concatenate(x) for x in zip(*blobs, strict=True))
         count = count.astype(np.int64)
         size = count + length - 1
@@ -333,7 +367,10 @@ def duplicate_report(docs: DataFrame, *, length: int = 50) -> DataFrame:
 def remove_duplicates(docs: DataFrame, *, length: int = 50) -> DataFrame:
     """The rows and columns of docs with repeated text removed from `text`; n_chars follows where text changes.
 
-    A character whose bytes are removed in part goes whole. Documents of which nothing is left stay, empty.
+    A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller
+    doc_id. A character whose bytes are removed in part goes whole. Documents of which nothing is
+    left stay, empty. Null texts stay null; rows with a null doc_id stay as they are and rows of
+    one doc_id aren't earlier than one another.
     """
 
     def finish(block: pa.Table, data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> pa.Table:

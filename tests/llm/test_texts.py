@@ -50,13 +50,15 @@ def test_duplicates_of_odd_documents(odd, none):
     assert left[8].text == "" and left[8].n_chars == 0 and left[7].text == "One two three. " * 40 and left[1].text is None
 
 
-@pytest.mark.parametrize("length", [16, 20, 50])
+@pytest.mark.parametrize("length", [16, 20, 50, 300])
 def test_duplicates_of_random_documents(spark, length, monkeypatch):
     random.seed(length)
     pool = ["".join(random.choice("abéz ") for _ in range(random.randint(10, 120))) for _ in range(25)]
     rows = [(random.randint(0, 60), "".join(random.choice(pool) for _ in range(random.randint(0, 6)))) for _ in range(80)]
     for name in ("_BLOCK", "_HASH_BUCKET", "_WINDOW_BUCKET"):
         monkeypatch.setattr(suffixes, name, 4000)
+    if length == 300:
+        rows += [(k % 70, "".join(pool) * 2) for k in range(61, 69)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, suffixes.duplicate_report(docs, length=length).collect()), key=keyed) == removed_by_force(rows, length)
 
@@ -68,6 +70,21 @@ def test_earlier_in_suffix_order():
     assert suffixes.earlier_in_suffix_order(text, starts, owner, 3).tolist() == want
 
 
+@pytest.mark.parametrize("length", [3, 8, 21, 24])
+def test_longest_previous_factors(length):
+    random.seed(length)
+    text = np.frombuffer("".join(random.choice("ab" if k % 3 else "abc") for k in range(400)).encode(), np.uint8)
+    starts = np.array(random.sample(range(len(text) - length + 1), 250))
+    owner = np.array([random.randint(0, 40) for _ in starts])
+
+    def common(i, j):
+        a, b = text[i : i + length], text[j : j + length]
+        return length if (a == b).all() else int(np.argmax(a != b))
+
+    want = [max((common(i, j) for j, q in zip(starts, owner) if q < p), default=0) for i, p in zip(starts, owner)]
+    assert suffixes.longest_previous_factors(text, starts, owner, length).tolist() == want
+
+
 # n-gram Jaccard join
 
 
