@@ -293,6 +293,15 @@ def test_rules_are_ordered_by_rejections_per_cost(spark):
     assert [m.rule.name for m in quality.measure(docs, rules, Scratch(spark))] == ["often", "never"]
 
 
+def test_keep_good_keeps_columns_of_any_name(spark, none):
+    prose = " ".join(f"word{k} and others" for k in range(20))
+    rows = [(1, prose, 7, "x"), (2, None, 8, "y"), (3, "", 9, None), (None, prose, 1, "z"), (1, prose, 7, "x"), (4, "too short", 2, "w"), (5, prose * 400, 3, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __d int, __text string")
+    got = quality.keep_good(docs, Scratch(spark))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=keyed) == sorted((r for r in rows if r[1] == prose), key=keyed)
+    assert quality.keep_good(none, Scratch(spark)).count() == 0
+
+
 # media
 
 
