@@ -32,7 +32,7 @@ ANCHOR = 16
 _PLACE_BITS = 30
 _BLOCK, _HASH_BUCKET, _WINDOW_BUCKET = 3 << 20, 32 << 20, 8 << 20
 #: Windows that a bucket sorts at a time.
-SORTED_WINDOWS = 1_000_000
+SORTED_WINDOWS = 400_000
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
