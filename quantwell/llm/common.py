@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +26,11 @@ def text_column(name: str = "text") -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quantwell-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -112,6 +115,8 @@ def binary(values: list[bytes]) -> pa.Array:
 def slices(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column of pieces of one array, by item offsets, without a copy for each."""
     step = data.itemsize
+    if len(offsets) and int(offsets[-1]) * step >= 1 << 31:
+        raise ValueError("pieces of one block hold 2 GiB or more")
     return pa.BinaryArray.from_buffers(
         pa.binary(),
         len(offsets) - 1,
