@@ -81,6 +81,19 @@ def probed(facts: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     return facts.join(pairs.select(*keys).distinct(), keys, "left_semi")
 
 
+def probed_sides(facts: DataFrame, sides: Mapping[str, tuple[DataFrame, str]], related: Column) -> DataFrame:
+    """The facts of wanted pairs that are told by a rule: rows of two or more sides for which `related` holds.
+
+    `sides` names the frame and its key for each column of the facts; `related` is a condition on
+    those columns. Pairs are not formed: one semi-join for each side, on the facts that `related`
+    leaves, so the work follows facts and sides, not their product. Null keys are in no pair.
+    """
+    found = facts.where(related)
+    for column, (side, key) in sides.items():
+        found = found.join(side.select(F.col(key).alias(column)), column, "left_semi")
+    return found.select(*facts.columns)
+
+
 class SnapshotGroup:
     """Linked reads of one state: the files of a table are fixed when it is first read.
 

@@ -20,7 +20,7 @@ from quantwell.plans.errors import QueryError
 from quantwell.plans.periods import Period
 from quantwell.plans.planner import Planner
 from quantwell.plans.request import Request
-from quantwell.sources.tables import SnapshotGroup, Store, Tables, freeze_week, limited, observed_rows, paged
+from quantwell.sources.tables import SnapshotGroup, Store, Tables, freeze_week, limited, observed_rows, paged, probed, probed_sides
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -247,6 +247,19 @@ def test_pages_and_limits(spark):
     assert {r.truncated for r in limited(df, 24, [F.asc("id")]).collect()} == {True} and {r.truncated for r in limited(df, 25, [F.asc("id")]).collect()} == {False}
 
 
+def test_pair_probes_form_no_pairs(spark):
+    keys = [None, 0, 1, 2, 3, 11, 12]
+    facts = spark.createDataFrame([(a, b) for a in keys for b in keys] * 2, "a long, b long")
+    left, right = (spark.createDataFrame([(k,) for k in ks], f"{name} long") for name, ks in (("x", (None, 1, 1, 2, 3, 12)), ("y", (None, 0, 2, 2, 11, 12))))
+    got = probed_sides(facts, {"a": (left, "x"), "b": (right, "y")}, F.col("a") % 10 == F.col("b") % 10)
+    pairs = left.join(right, F.col("x") % 10 == F.col("y") % 10).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    expected = sorted([(1, 11), (2, 2), (2, 12), (12, 2), (12, 12)] * 2)
+    assert sorted(map(tuple, got.collect())) == expected == sorted(map(tuple, probed(facts, pairs, ["a", "b"]).collect()))
+    df = Q.queries()["s8_pair_probe"](spark, FOLDER)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2 and "Join Inner" not in plan
+
+
 def test_scans_show_whitelisted_columns_only(spark):
     t = Tables(spark, FOLDER)
     for columns in (["l_comment"], ["l_tax"]):
