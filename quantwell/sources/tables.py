@@ -66,12 +66,13 @@ def freeze_week(rows: DataFrame, path: str, week: str) -> DataFrame:
     return back
 
 
-def observed_rows(df: DataFrame, budget: int) -> DataFrame:
-    """All rows in the order of all their columns, for a source that has `budget` rows at most; else an error.
+def observed_rows(df: DataFrame, budget: int | None = None) -> DataFrame:
+    """All rows in the order of all their columns; an error if the source has more than a given `budget`.
 
-    The check reads one row beyond the budget; equal rows are interchangeable, so the order is total.
+    Without a budget the source is read whole, however large: the sort is distributed and spills.
+    With one, the check reads one row beyond it; equal rows are interchangeable, so the order is total.
     """
-    if df.limit(budget + 1).count() > budget:
+    if budget is not None and df.limit(budget + 1).count() > budget:
         raise QueryError("SOURCE_ROW_BUDGET_EXCEEDED", f"more than {budget} rows: the old input stays")
     return df.orderBy(*df.columns)
 

@@ -260,6 +260,14 @@ def test_pair_probes_form_no_pairs(spark):
     assert plan.count("Join LeftSemi") == 2 and "Join Inner" not in plan
 
 
+def test_the_observed_read_is_whole(spark, tmp_path):
+    n = F.col("id")
+    texts = [F.lit("x").alias(c) for c in ("p_name", "p_brand", "p_type")]
+    spark.range(1_000_001).select(n.alias("p_partkey"), *texts, (n % 50).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    got = Q.queries()["s7_budgeted_read"](spark, str(tmp_path)).agg(F.count("*"), F.count_distinct("p_partkey"), F.min("p_partkey"), F.max("p_partkey")).first()
+    assert tuple(got) == (1_000_001, 1_000_001, 0, 1_000_000)
+
+
 def test_scans_show_whitelisted_columns_only(spark):
     t = Tables(spark, FOLDER)
     for columns in (["l_comment"], ["l_tax"]):
