@@ -58,10 +58,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begins = np.flatnonzero(start)
     stop = np.flatnonzero(solid & np.concatenate([~solid[1:] | start[1:], [True]])) + 1 if len(data) else begins
     size = stop - begins
-    order = np.argsort(-size, kind="stable")
+    longest = int(size.max(initial=0))
+    order = np.argsort((longest - size).astype(np.uint16 if longest < 1 << 16 else np.int64), kind="stable")  # 16 bits are sorted by radix
     at = begins[order]
     hashes = np.zeros(len(at), np.uint64)
-    live = len(at) - np.searchsorted(size[order][::-1], np.arange(1, int(size.max(initial=0)) + 1), "left")
+    live = len(at) - np.searchsorted(size[order][::-1], np.arange(1, longest + 1), "left")
     for k, n in enumerate(live.tolist()):
         h = hashes[:n]
         h ^= _BYTE[data[at[:n] + k]]

@@ -41,6 +41,8 @@ BATCH, RATE = 16384, 0.08
 AT_ONCE = 16384
 _BLOCK, _COUNT_BUCKET = 3 << 20, 32 << 20
 _SLICES, _FAN = 32, 64
+#: Rows of the same word that are added by whole arrays; a power of 2.
+_RUN = 8
 
 
 @dataclass
@@ -92,14 +94,46 @@ class _Space:
 _SPACE = _Space()
 
 
-def _softmax(x: np.ndarray, e: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of each column and the logarithms' normalizer; reductions run along whole rows."""
-    top = x.max(0)
-    e = np.subtract(x, top, out=e)
-    np.exp(e, out=e)
-    total = e.sum(0)
-    e /= total
-    return e, top + np.log(total)
+def _softmax(x: np.ndarray, own: np.ndarray, rate: float | None) -> np.ndarray:
+    """Log-probability of the row `own` in each column of logits; reductions run along whole rows.
+
+    The logits are used up. With a rate they become the gradient of the negative sum, times the rate.
+    """
+    at = own * x.shape[1] + np.arange(x.shape[1])
+    flat = x.reshape(-1)
+    x -= x.max(0)
+    out = flat.take(at)
+    np.exp(x, out=x)
+    total = x.sum(0)
+    out -= np.log(total)
+    if rate is not None:
+        x *= rate / total
+        flat[at] -= rate
+    return out
+
+
+def _sums(rows: np.ndarray, ids: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, and the sums of their rows; the last of `rows` is zero and has no id.
+
+    Rows of an id are brought together and filled up with the zero row to whole runs; whole
+    arrays add the rows of all runs, and few sums of runs are left to be added by id.
+    """
+    n, width = len(ids), rows.shape[1]
+    ids = ids.astype(np.uint16)
+    by = np.argsort(ids, kind="stable")
+    ids = ids.take(by)
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    sizes = np.diff(np.append(first, n))
+    filled = -(-sizes // _RUN)
+    starts = np.cumsum(filled) - filled
+    index = np.full(_RUN * int(filled.sum()), n)
+    index[np.arange(n) + np.repeat(_RUN * starts - first, sizes)] = by
+    x = rows.take(index, axis=0, out=runs[: len(index)], mode="clip").reshape(-1, _RUN * width)
+    half = _RUN * width
+    while half > width:
+        half //= 2
+        x[:, :half] += x[:, half : 2 * half]
+    return ids[first], np.add.reduceat(x[:, :width], starts, axis=0)
 
 
 def log_probabilities(w: Weights, context: np.ndarray, target: np.ndarray, gradients: list[np.ndarray] | None = None) -> np.ndarray:
@@ -115,49 +149,47 @@ def _log_probabilities(w: Weights, context: np.ndarray, target: np.ndarray, grad
     order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
     sides, target = [context[:, k].take(order) for k in range(len(PLACES))], target.take(order)
     cluster, member = target // MEMBERS, target % MEMBERS
-    n, rows = len(target), np.arange(len(target))
+    n, rate = len(target), None if gradients is None else 1 / of
     space = lambda name, *shape: _SPACE(name, shape, w.hidden.dtype)
-    total, some = space("total", n, HIDDEN), space("some", n, HIDDEN)
-    w.places[0].take(sides[0], axis=0, out=total, mode="clip")
+    twice = space("twice", *w.places.shape[:2], HIDDEN + 1)  # of the places' rows; a column more for the biases
+    np.multiply(w.places, 2, out=twice[:, :, :HIDDEN])
+    twice[0, :, :HIDDEN] += 2 * w.hidden
+    twice[:, :, HIDDEN] = 0
+    h, some = space("h", n, HIDDEN + 1), space("some", n, HIDDEN + 1)
+    twice[0].take(sides[0], axis=0, out=h, mode="clip")
     for k in range(1, len(PLACES)):
-        total += w.places[k].take(sides[k], axis=0, out=some, mode="clip")
-    total += w.hidden
-    h = space("h", HIDDEN + 1, n)
-    np.tanh(total.T, out=h[:HIDDEN])
-    h[HIDDEN] = 1
-    logits = np.matmul(w.cluster.T, h, out=space("logits", CLUSTERS, n))
-    p, norm = _softmax(logits, space("p", CLUSTERS, n))
-    out = logits[cluster, rows] - norm
-    if gradients is not None:
-        p[cluster, rows] -= 1
-        p /= of
-        gradients[2] += h @ p.T
-        back = np.matmul(w.cluster, p, out=space("back", HIDDEN + 1, n))
-    edges = np.searchsorted(cluster, np.arange(CLUSTERS + 1))
-    for c in np.unique(cluster):
-        a, b = edges[c], edges[c + 1]
-        inner = w.member[c].T @ h[:, a:b]
-        q, norm = _softmax(inner)
-        own = member[a:b]
-        out[a:b] += inner[own, rows[: b - a]] - norm
-        if gradients is not None:
-            q[own, rows[: b - a]] -= 1
-            q /= of
-            gradients[3][c] += h[:, a:b] @ q.T
-            back[:, a:b] += w.member[c] @ q
+        h += twice[k].take(sides[k], axis=0, out=some, mode="clip")
+    with np.errstate(over="ignore"):  # tanh x = 1 - 2 / (exp 2x + 1), which is faster than tanh
+        np.exp(h, out=h)
+    h += 1
+    np.divide(-2, h, out=h)
+    h += 1
+    h[:, HIDDEN] = 1
+    logits, inner = space("logits", CLUSTERS, n), space("inner", MEMBERS, n)
+    np.matmul(w.cluster.T, h.T, out=logits)
+    edges = np.searchsorted(cluster, np.arange(CLUSTERS + 1)).tolist()
+    parts = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+    for c, own in parts:
+        np.matmul(w.member[c].T, h[own].T, out=inner[:, own])
+    out = _softmax(logits, cluster, rate)
+    out += _softmax(inner, member, rate)
     if gradients is not None:
+        gradients[2] += h.T @ logits.T
+        d = space("back", n + 1, HIDDEN + 1)
+        d[n] = 0
+        back = np.matmul(logits.T, w.cluster.T, out=d[:n])
+        for c, own in parts:
+            gradients[3][c] += h[own].T @ inner[:, own].T
+            np.matmul(inner[:, own].T, w.member[c].T, out=some[own])
+        back += some
         np.multiply(h, h, out=h)
         np.subtract(1, h, out=h)
         back *= h
-        d = total
-        np.copyto(d, back[:HIDDEN].T)
-        gradients[1] += d.sum(0)
+        runs = space("runs", n + _RUN * w.places.shape[1], HIDDEN + 1)
         for k in range(len(PLACES)):
-            ids = sides[k].astype(np.uint16)
-            by = np.argsort(ids, kind="stable")
-            ids = ids.take(by)
-            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            gradients[0][k][ids[first]] += np.add.reduceat(d.take(by, axis=0, out=some, mode="clip"), first, axis=0)
+            ids, sums = _sums(d, sides[k], runs)
+            gradients[0][k][ids] += sums[:, :HIDDEN]
+        gradients[1] += sums[:, :HIDDEN].sum(0)
     scores = np.empty(n, np.float32)
     scores[order] = out
     return scores
@@ -165,11 +197,15 @@ def _log_probabilities(w: Weights, context: np.ndarray, target: np.ndarray, grad
 
 def word_ids(hashes: np.ndarray, vocabulary: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Ids of word hashes: `ids` of the sorted `vocabulary`, and by hash of all others."""
-    other = KNOWN + (hashes % np.uint64(MEMBERS)).astype(np.int64)
+    out = KNOWN + (hashes % np.uint64(MEMBERS)).astype(np.int64)
     if not len(vocabulary):
-        return other
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, ids[at], other)
+        return out
+    heads = (vocabulary >> np.uint64(48)).astype(np.int64)  # the first word with each head of 16 bits, then the few others
+    at = np.searchsorted(heads, np.arange(1 << 16)).take((hashes >> np.uint64(48)).astype(np.int64))
+    for k in range(int(np.bincount(heads).max())):
+        hit = np.flatnonzero(vocabulary.take(at + k, mode="clip") == hashes)
+        out[hit] = ids.take(at[hit] + k, mode="clip")
+    return out
 
 
 def examples(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -373,6 +373,25 @@ def test_gradients():
         assert abs((sides[0] - sides[1]) / (2 * step) - g[at]) < 2e-2 * abs(g[at]) + 1e-4
 
 
+def test_rows_add_up_by_word():
+    draw = np.random.default_rng(4)
+    for n, kinds in ((1, 1), (7, 3), (5000, 900), (5000, 2)):
+        ids = draw.integers(0, kinds, n)
+        rows = np.concatenate([draw.integers(-9, 9, (n, 5)), np.zeros((1, 5), int)]).astype(float)
+        expected = np.zeros((kinds, 5))
+        np.add.at(expected, ids, rows[:n])
+        found, sums = pseudolm._sums(rows, ids, np.empty((n + pseudolm._RUN * kinds, 5)))
+        assert np.array_equal(found, np.unique(ids)) and np.array_equal(sums, expected[found])
+
+
+def test_ids_of_words_whose_hashes_begin_alike():
+    known = np.sort(np.array([5, 6, 7, 1 << 50, (1 << 50) + 1, (1 << 63) + 9], np.uint64))
+    asked = np.array([0, 5, 6, 7, 8, 1 << 50, (1 << 50) + 1, (1 << 50) + 2, (1 << 63) + 9, 2**64 - 1], np.uint64)
+    other = pseudolm.KNOWN + asked % np.uint64(pseudolm.MEMBERS)
+    assert pseudolm.word_ids(asked, known, np.arange(6)).tolist() == [other[0], 0, 1, 2, other[4], 3, 4, other[7], 5, other[9]]
+    assert pseudolm.word_ids(asked, known[:0], known[:0]).tolist() == other.tolist()
+
+
 def test_probabilities_add_up():
     w = pseudolm.Weights.start(3)
     context = np.tile([[1, 2, 3, 4]], (pseudolm.WORDS, 1))
