@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -17,6 +18,16 @@ REMEMBERED_WORDS = 200_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers have for each byte: itself if it is printable, else one from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = byte_letters()
+
+
 def encoder(path: str) -> "WordEncoder":
     """The encoder of a tokenizer file, one for each worker process."""
     if path not in _ENCODERS:
@@ -42,10 +53,33 @@ class WordEncoder:
         self.lower = "Lowercase" in normalizer
         known = "ByteLevel(" in splitter and ("NFC" in normalizer and "Removed" in splitter if self.lower else normalizer == "None" and "use_regex=True" in splitter and "add_prefix_space=False" in splitter)
         self.known = known and all(t.content.startswith("<|") for t in self.library.get_added_tokens_decoder().values())
+        self.model = self._model() if self.known and not self.lower else None
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.seen: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _model(self):
+        """The library's tokenizer without its splitter, for words that are split already and spelt in byte letters."""
+        raw = json.loads(self.library.to_str())
+        model = type(self.library).from_str(json.dumps(raw | {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
+        pieces = model.get_vocab()
+        self.lengths = np.zeros(max(pieces.values()) + 1, np.int64)
+        self.lengths[list(pieces.values())] = list(map(len, pieces))
+        return model
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that the splitter leaves whole, end to end, and offsets."""
+        if self.model is not None:
+            found = self.model.encode_batch_fast([[w.decode("latin-1").translate(_LETTERS) for w in words]], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            at = np.concatenate([[0], np.cumsum(self.lengths[ids])])  # bytes before each id; pieces of a word are its bytes
+            edges = np.concatenate([[0], np.searchsorted(at, ends)])
+            if at[-1] == ends[-1] and np.array_equal(at[edges[1:]], ends):
+                return ids, edges
+        found = self.library.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+        return np.array(found.ids, "<u4"), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))
+
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
         """The words of plain documents as a dictionary column, and each document's first word."""
         if self.lower:
@@ -69,20 +103,23 @@ class WordEncoder:
         if len(self.seen) + len(words) > REMEMBERED_WORDS:
             self.old, self.seen = self.seen, {}
         seen, old = self.seen, self.old
+        out = list(map(seen.get, words))
+        absent = [k for k, ids in enumerate(out) if ids is None]
         new = []
-        for w in words:
-            if w not in seen:
-                if w in old:
-                    seen[w] = old[w]
-                else:
-                    new.append(w)
+        for w in map(words.__getitem__, absent):
+            ids = old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                seen[w] = ids
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
-            found = self.library.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            edges = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-            seen.update((w, ids[a:b]) for w, a, b in zip(some, edges, edges[1:], strict=False))
-        return [seen[w] for w in words]
+            ids, at = self._encoded(some)
+            raw, edges = ids.tobytes(), (4 * at).tolist()
+            seen.update(zip(some, map(raw.__getitem__, map(slice, edges, edges[1:])), strict=False))
+        for k in absent:
+            out[k] = seen[words[k]]
+        return out
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and n + 1 offsets."""

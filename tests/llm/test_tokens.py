@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer, models
 
 from quantwell.llm import huffman, packing, unigram, wordtable
-from quantwell.llm.bpe import encoder
+from quantwell.llm.bpe import WordEncoder, encoder
 from quantwell.llm.common import Scratch
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,18 @@ def test_words_encode_as_the_library_does(path):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library(path, texts)
 
 
+
+def test_words_are_encoded_without_being_split_again():
+    tool = WordEncoder(BYTE)
+    text = "".join(random.Random(6).choice(["a", "Ze", "0", "9!", " ", "  ", "\t\n", "é", "ß", "Привет", "中文", "🙂", "\u00ad", "\x7f", "'s"]) for _ in range(4000))
+    words = sorted({text[a:b].encode() for _, (a, b) in tool.library.pre_tokenizer.pre_tokenize_str(text)}) + [b"x" * 3000]
+    want = [np.array(tool.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    whole, tool.library = tool.library, None  # the library's own splitter is not called
+    assert tool.word_ids(words) == want == tool.word_ids(words)
+    tool.library, tool.seen, tool.lengths = whole, {}, np.zeros_like(tool.lengths)  # pieces that don't tell the words' ends
+    assert tool.word_ids(words) == want
+
+
 def kraft(lengths):
     return sum(2.0 ** -int(x) for x in lengths if x)
 
